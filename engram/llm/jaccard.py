@@ -3,14 +3,16 @@
 Stages, none of which moves all pairs of anything:
 
 1. Documents with one shingle set form a class; its smallest id stands for it.
-2. Groups of similar documents: classes that share a min-hash are compared with the first of them, and the links
-   that hold exactly are closed. Thousands of near copies so become one group, in one comparison each.
+2. Groups of similar documents: classes that share a min-hash are compared with the first of them. Exact links are
+   closed; a class that is only half alike joins the group as a loose member. Thousands of near copies so become
+   one group, in one comparison each.
 3. Token-group matrix: for each group the union of its members' prefix tokens. A document's prefix are its
    n - ceil(t n) + 1 first tokens in one global order; two sets of similarity t or more share a prefix token.
    The order puts tokens of many documents last (a bitmap of fixed size says which; any order is correct), so
    that a passage in many documents makes no candidates.
-4. A pair of groups is opened only if what their prefixes share, and what can lie beyond them, is enough.
-   There, a query document is compared with members only if its overlap with the union of their sets is enough.
+4. A pair of groups is opened only if what their prefixes share, and what can lie beyond them, is enough; a group
+   is opened to its own loose members. There, a query document's overlap with the members is counted at once, but
+   only if its overlap with the union of their sets is enough.
 5. The links close the groups.
 """
 
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import U64, binary, bitmap, buckets_for, components, distinct_sorted, in_bitmap, materialize, only_ids, prepare, shingles, split_buckets
 
-#: Members of a group that are compared in one go.
+#: Members of a group that are compared in one go, and queries that meet them in one task.
 CHUNK = 256
+ASK = 512
+#: Percent of similarity to a group's first class that makes a loose member.
+LOOSE = 50
 #: Tokens of at least so many documents come last in the global order.
 FREQUENT = 24
 #: Bits of the bitmap of such tokens: 2 MB, whatever the corpus.
@@ -128,11 +133,6 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield last, parts
 
 
-def _need(x: np.ndarray | int, y: np.ndarray | int, percent: int) -> np.ndarray | int:
-    """Least overlap of sets of x and y tokens whose similarity reaches percent: ceil(p (x + y) / (100 + p))."""
-    return -(-(percent * (x + y)) // (100 + percent))
-
-
 def shared_prefixes(members: DataFrame, frequent: np.ndarray, words: int, percent: int, bits: int, frequency_bits: int) -> DataFrame:
     """(a, b, shared): pairs of groups, a < b, and the number of prefix tokens that their unions share.
 
@@ -199,50 +199,75 @@ def shared_prefixes(members: DataFrame, frequent: np.ndarray, words: int, percen
     return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def verify(texts: DataFrame, tasks: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between members (kind 0) and queries (kind 1) of tasks (grp, chunk, kind, id).
+def verify(texts: DataFrame, members: DataFrame, queries: DataFrame, words: int, percent: int, loose: int | None = None) -> DataFrame:
+    """Links (a, b, close) between members (grp, id) and queries (grp, id) of a group; close: percent is reached.
 
-    Rows stream through a task sorted by chunk; it holds the sets of one chunk's members, at most CHUNK, and one
-    query at a time. A query opens the chunk only if its overlap with the union of their sets is enough, and
-    yields every member that it links to.
+    With loose, pairs that only reach that percentage are given, too. Large groups are dealt out: CHUNK members and
+    about ASK of the queries meet in a task's run of rows, members first. The task holds the sets of these members
+    as one sorted index and one query at a time. A query is looked up only if its overlap with the union of the
+    members' sets is enough.
     """
-    wanted = only_ids(texts, "id", tasks, "id")
-    rows = tasks.join(wanted, "id").select("grp", "chunk", "kind", "id", "text")
+    least = percent if loose is None else loose
+    asked = queries.groupBy("grp").agg(F.floor(F.count("*") / ASK).alias("parts"))
+    many = materialize(members.groupBy("grp").agg(F.floor(F.count("*") / CHUNK).alias("chunks")).join(asked, "grp"), "chunks")
+    own = members.join(many, "grp").selectExpr("grp", "pmod(xxhash64(id), chunks + 1) * (parts + 1) c", "explode(sequence(0L, parts)) p", "id")
+    ask = queries.join(many, "grp").selectExpr("grp", "pmod(xxhash64(id), parts + 1) p", "parts", "explode(sequence(0L, chunks)) c", "id")
+    tasks = own.selectExpr("grp", "c + p chunk", "0 kind", "id").unionByName(ask.selectExpr("grp", "c * (parts + 1) + p chunk", "1 kind", "id"))
+    tasks = materialize(tasks, "tasks")
+    rows = tasks.join(only_ids(texts, "id", tasks, "id"), "id").select("grp", "chunk", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, members, union = None, [], None
+        last, held, index = None, [], None
         for b in batches:
-            found = []
+            found: list[tuple[np.ndarray, ...]] = []
             cols = [b.column(k).to_pylist() for k in range(4)]
             for group, chunk, kind, own, text in zip(*cols, binary(b, "text"), strict=True):
                 if (group, chunk) != last:
-                    last, members, union = (group, chunk), [], None
+                    last, held, index = (group, chunk), [], None
                 s = shingles(text, words)
                 if kind == 0:
-                    members.append((own, s))
+                    held.append((own, s))
+                    continue
+                if not held:
                     continue
-                if len(members) > 1:
-                    if union is None:
-                        union = distinct_sorted(np.concatenate([m for _, m in members]))
-                    if 100 * _overlap(s, union) < percent * len(s):
-                        continue
-                for other, m in members:
-                    if other != own and min(len(s), len(m)) * 100 >= percent * max(len(s), len(m)):
-                        both = _overlap(s, m)
-                        if 100 * both >= percent * (len(s) + len(m) - both):
-                            found.append((min(own, other), max(own, other)))
+                if index is None:
+                    index = _Index(held)
+                ids, both, sizes = index.overlaps(s, least)
+                union = sizes + len(s) - both
+                hit = (100 * both >= least * union) & (ids != own)
+                if hit.any():
+                    other = ids[hit]
+                    found.append((np.minimum(other, own), np.maximum(other, own), (100 * both >= percent * union)[hit]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "close"])
+
+    return rows.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "kind", "id").mapInArrow(run, "a long, b long, close boolean")
+
 
-    return rows.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "kind", "id").mapInArrow(run, "a long, b long")
+class _Index:
+    """The sets of some members as one sorted run of (token, member)."""
 
+    def __init__(self, held: list[tuple[int, np.ndarray]]):
+        self.ids = np.array([i for i, _ in held], np.int64)
+        self.sizes = np.array([len(s) for _, s in held], np.int64)
+        owner = np.repeat(np.arange(len(held)), self.sizes)
+        tokens = np.concatenate([s for _, s in held])
+        order = np.argsort(tokens, kind="stable")
+        self.owner, tokens = owner[order], tokens[order]
+        new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+        self.union = tokens[new]
+        self.starts = np.append(np.flatnonzero(new), len(tokens))
 
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = len(y) - 1
-    return int((y[at] == x).sum())
+    def overlaps(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, overlaps and sizes of the members; none if the union bounds all of them below percent."""
+        at = np.searchsorted(self.union, s)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == s]
+        if 100 * len(at) < percent * len(s):
+            return self.ids[:0], self.sizes[:0], self.sizes[:0]
+        begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        places = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.ids, np.bincount(self.owner[places], minlength=len(self.ids)), self.sizes
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,36 +288,35 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
     # 2. stars around the first class of each min-hash
     keyed = classes.select("rep", F.posexplode(F.array("k0", "k1", "k2")).alias("i", "k"))
     pivots = keyed.groupBy("i", "k").agg(F.min("rep").alias("grp"), F.count("*").alias("m")).where("m > 1")
-    star = keyed.join(pivots, ["i", "k"]).where("rep <> grp").select("grp", "rep").distinct()
-    star = materialize(star, "stars")
-    chunks = star.groupBy("grp").agg((F.count("*") / CHUNK).cast("int").alias("chunks"))
-    queries = star.join(chunks, "grp").selectExpr("grp", "CAST(pmod(xxhash64(rep), chunks + 1) AS INT) chunk", "1 kind", "rep id")
-    members = chunks.selectExpr("grp", "explode(sequence(0, chunks)) chunk", "0 kind", "grp id")
-    near = materialize(verify(texts, materialize(queries.unionByName(members), "tasks"), words, percent), "links")
-    groups = materialize(components(near).selectExpr("node rep", "component grp"), "groups")
+    star = materialize(keyed.join(pivots, ["i", "k"]).where("rep <> grp").selectExpr("grp", "rep id").distinct(), "stars")
+    near = materialize(verify(texts, star.selectExpr("grp", "grp id").distinct(), star, words, percent, LOOSE), "links")
+    firm = materialize(components(near.where("close")).selectExpr("node rep", "component firm"), "firm")
+    side = near.where("NOT close").join(firm.selectExpr("rep b"), "b", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
+    side = side.join(firm.selectExpr("rep a", "firm"), "a", "left").selectExpr("b rep", "coalesce(firm, a) host")
+    placed = classes.select("rep", "n").join(firm, "rep", "left").join(side, "rep", "left").selectExpr("rep", "n", "coalesce(host, firm, rep) grp", "host IS NOT NULL loose")
+    placed = materialize(placed, "placed")
 
     # 3. the matrix, and pairs of groups that share prefix tokens
     total = int(profile.agg(F.sum("n")).first()[0] or 0)
     frequent = frequent_tokens(texts, words, total, FREQUENT)
-    placed = materialize(classes.select("rep", "n").join(groups, "rep", "left").select("rep", "n", F.coalesce("grp", "rep").alias("grp")), "placed")
     prefixed = texts.join(placed.selectExpr("rep id", "grp"), "id")
     pairs = shared_prefixes(prefixed, frequent, words, percent, buckets_for(total // 4), buckets_for(total))
 
     # 4. open pairs whose bound allows a link
     sizes = materialize(placed.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high")), "group-sizes")
-    side = lambda x: sizes.selectExpr(f"grp {x}", f"m m_{x}", f"low low_{x}", f"high high_{x}")
+    of = lambda x: sizes.selectExpr(f"grp {x}", f"m m_{x}", f"low low_{x}", f"high high_{x}")
     p = str(percent)
     # tokens beyond both prefixes: at most floor(p high / 100) of either; overlap needed: ceil(p (low + low) / (100 + p))
     fits = f"100 * high_a >= {p} * low_b AND 100 * high_b >= {p} * low_a"
     bound = f"(m_a > 1 OR m_b > 1 OR shared + greatest(({p} * high_a + 99) DIV 100 - 1, ({p} * high_b + 99) DIV 100 - 1) >= ({p} * (low_a + low_b) + 99 + {p}) DIV (100 + {p}))"
-    opened = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(f"{fits} AND {bound}").selectExpr("if((m_a, a) < (m_b, b), a, b) q", "if((m_a, a) < (m_b, b), b, a) grp", "greatest(m_a, m_b) m"), "opened")
-    hosts = opened.select("grp", F.floor(F.col("m") / CHUNK).cast("int").alias("chunks")).distinct()
-    inside = placed.join(hosts, "grp").selectExpr("grp", "CAST(pmod(xxhash64(rep), chunks + 1) AS INT) chunk", "0 kind", "rep id")
-    asking = opened.join(placed.selectExpr("grp q", "rep id"), "q").selectExpr("grp", "explode(sequence(0, CAST(floor(m / %d) AS INT))) chunk" % CHUNK, "1 kind", "id")
-    far = materialize(verify(texts, materialize(inside.unionByName(asking), "tasks"), words, percent), "links")
+    opened = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(f"{fits} AND {bound}").selectExpr("if((m_a, a) < (m_b, b), a, b) q", "if((m_a, a) < (m_b, b), b, a) grp"), "opened")
+    asking = opened.select("q", "grp").join(placed.selectExpr("grp q", "rep id"), "q").select("grp", "id").unionByName(placed.where("loose").selectExpr("grp", "rep id"))
+    asking = materialize(asking, "queries")
+    inside = placed.join(asking.select("grp").distinct(), "grp").selectExpr("grp", "rep id")
+    far = verify(texts, inside, asking, words, percent).select("a", "b")
 
     # 5. close
-    joined = groups.selectExpr("rep a", "grp b").unionByName(far)
+    joined = materialize(firm.selectExpr("rep a", "firm b").unionByName(far), "links")
     final = materialize(components(joined).selectExpr("node rep", "component"), "components")
     by_class = classes.select("c1", "c2", "rep").join(final, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     linked = profile.where("n > 0").join(by_class, ["c1", "c2"]).select("id", "n", "component")
