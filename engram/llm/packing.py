@@ -22,7 +22,7 @@ from .common import binary, materialize, prepare
 #: Where a letter ends and plain punctuation begins, tokenizers of words always cut.
 _CUT = re.compile(rb"(?<=[a-z])(?=[.,!*$%&#|])")
 _PLAIN = re.compile(rb"[a-z]+")
-_CACHED = 400_000
+_CACHED = 800_000
 _CODERS: dict[str, Coder] = {}
 
 
@@ -45,16 +45,23 @@ class Coder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        letters = [w for w in words if _PLAIN.fullmatch(w)]
-        if letters:
-            found = self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = [*((np.flatnonzero(np.diff(np.array(found.word_ids))) + 1) * 4).tolist(), len(ids)]
-            at = 0
-            for w, end in zip(letters, ends, strict=True):
-                into[w] = ids[at:end]
-                at = end
+        """Words of a-z alone are one unit of the model; other letters go in groups, the rest one by one."""
+        tokenize = self.tokenizer.model.tokenize
+        other = []
         for w in words:
+            if _PLAIN.fullmatch(w):
+                into[w] = np.array([t.id for t in tokenize(w.decode())], "<u4").tobytes()
+            else:
+                other.append(w)
+        letters = [w for w in other if w.decode().isalpha()]
+        for i in range(0, len(letters), 200):
+            group = letters[i : i + 200]
+            found = self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False)
+            ends = (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1) * 4
+            if len(ends) + 1 == len(group):  # else a letter turned into several when it was lower-cased
+                ids = np.array(found.ids, "<u4").tobytes()
+                into.update(zip(group, (ids[x:y] for x, y in zip([0, *ends.tolist()], [*ends.tolist(), len(ids)], strict=True)), strict=True))
+        for w in other:
             if w not in into:
                 into[w] = self.plain(w.decode())
 
