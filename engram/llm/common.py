@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch. Texts may be long, so that batches stay small in bytes.
 BATCH_ROWS = 512
 #: Words kept by a worker's cache of hashes; others are hashed each time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 U64 = np.uint64
 _SHIPPED: set[str] = set()

@@ -22,7 +22,7 @@ from .common import binary, materialize, prepare
 #: Where a letter ends and plain punctuation begins, tokenizers of words always cut.
 _CUT = re.compile(rb"(?<=[a-z])(?=[.,!*$%&#|])")
 _PLAIN = re.compile(rb"[a-z]+")
-_CACHED = 800_000
+_CACHED = 400_000
 _CODERS: dict[str, Coder] = {}
 
 
@@ -103,23 +103,29 @@ def cut(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 2, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(tokenizer)
-        for batch in batches:
-            at, rows, ids = [], [], []
-            for i, text in enumerate(binary(batch, "text")):
-                coded = encode(text) + end
-                for s in range(0, len(coded), 4 * max_len):
-                    piece = coded[s : s + 4 * max_len]
-                    at.append(i)
-                    rows.append((s // 4, len(piece) // 4, zlib.crc32(piece), len(coded) // 4))
-                    if with_ids:
-                        ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
-            if rows:
-                cols = np.array(rows, np.int64)
-                out = [batch.column(0).take(pa.array(at)), *(pa.array(cols[:, k]) for k in range(4))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        try:
+            for batch in batches:
+                yield from pieces(batch, encode)
+        finally:
+            encode.ids.clear()  # a worker outlives its tasks; its memory should not
+
+    def pieces(batch: pa.RecordBatch, encode: Coder) -> Iterator[pa.RecordBatch]:
+        at, rows, ids = [], [], []
+        for i, text in enumerate(binary(batch, "text")):
+            coded = encode(text) + end
+            for s in range(0, len(coded), 4 * max_len):
+                piece = coded[s : s + 4 * max_len]
+                at.append(i)
+                rows.append((s // 4, len(piece) // 4, zlib.crc32(piece), len(coded) // 4))
                 if with_ids:
-                    out, names = [*out, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(out, names)
+                    ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
+        if rows:
+            cols = np.array(rows, np.int64)
+            out = [batch.column(0).take(pa.array(at)), *(pa.array(cols[:, k]) for k in range(4))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            if with_ids:
+                out, names = [*out, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(out, names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

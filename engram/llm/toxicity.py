@@ -55,7 +55,7 @@ class Rows(dict):
     def __missing__(self, word: bytes) -> int:
         own, start = buckets(word, self.bits)
         rows = int(self.row_of[own]) | int(self.row_of[start]) << 32
-        if len(self) < 300_000 and len(word) <= 64:
+        if len(self) < 150_000 and len(word) <= 64:
             self[word] = rows
         return rows
 
