@@ -38,7 +38,7 @@ FREQUENT = 24
 #: Bits of the bitmap of such tokens: 2 MB, whatever the corpus.
 FREQUENT_BITS = 24
 #: Keys gathered before sorted runs of them are sent.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 

@@ -27,7 +27,7 @@ from .common import U64, binary, bitmap, buckets_for, distinct_sorted, in_bitmap
 from .jaccard import _by_bucket
 
 K = 8
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 CHUNK_BYTES = 4 << 20
 #: Bits of the bitmap of documents that hold repeated edges: 2 MB, whatever the corpus.
 AFFECTED_BITS = 24
