@@ -162,12 +162,18 @@ def shortest_pack_first(histogram: dict[int, int], max_len: int) -> tuple[dict[i
                 n = min(left, count)
                 if n < count:
                     put(room, first + n, count - n)
-            else:
-                room, first, n = max_len, packs, left
-                packs += n
-            own.append((n, first, max_len - room))
-            put(room - length, first, n)
-            left -= n
+                own.append((n, first, max_len - room))
+                put(room - length, first, n)
+                left -= n
+                continue
+            # no pack has the room: a new one is now the emptiest until it is full, then the next
+            each = max_len // length
+            for n, held in ((left // each, each), (1, left % each)):
+                if n and held:
+                    own += [(n, packs, k * length) for k in range(held)]
+                    put(max_len - held * length, packs, n)
+                    packs += n
+            left = 0
         runs[length] = own
     return runs, packs
 
@@ -189,7 +195,7 @@ def pack(pieces: DataFrame, max_len: int = 4096, rows_per_task: int = 50_000) ->
     bases = bases.withColumn("base", F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))).select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))
     place = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
     ranked = salted.withColumn("place", place).join(bases, ["length", "salt"]).withColumn("rank", F.col("place") + F.col("base"))
-    # Runs: below 2 * max_len ranges of packs for each length, independent of the number of documents.
+    # Runs depend on max_len alone: each length meets the ranges of packs that longer ones have left.
     table = {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in runs.items()}
     shared = spark.sparkContext.broadcast({n: (np.cumsum(c) - c, first, offset) for n, (c, first, offset) in table.items()})
 
