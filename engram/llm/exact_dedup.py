@@ -11,15 +11,16 @@ from .common import materialize
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1024, most: int = 4096) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 256, most: int = 4096) -> DataFrame:
     """(doc_id, n_chars, text_sha256, chunks): the recipe of each text without its white space.
 
-    A chunk ends at the first sentence mark after `least` code points, or after `most`: cuts depend on content
-    alone, so that equal texts have equal chunks and long texts that share a part share most of its chunks.
+    A chunk ends at the first mark that follows one of a few letters after `least` code points, or at `most`. Such
+    places are some hundred code points apart in prose, so that cuts depend on content alone: equal texts have
+    equal chunks, and long texts that share a part share most of its chunks.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("n_chars"), F.translate(text, SPACE, "").alias("t"))
-    cuts = F.regexp_extract_all("t", F.lit(rf"(?s).{{{least},{most - 1}}}?[.!?;:|]|.{{1,{most}}}"), F.lit(0))
+    cuts = F.regexp_extract_all("t", F.lit(rf"(?s).{{{least},{most - 2}}}?[dgkmuz][.!?;:|,]|.{{1,{most}}}"), F.lit(0))
     recipe = F.transform(cuts, lambda c: F.struct(F.unhex(F.sha2(c, 256)).alias("digest"), F.char_length(c).alias("size"), F.xxhash64(c).alias("proof")))
     return plain.select("doc_id", "n_chars", F.sha2("t", 256).alias("text_sha256"), recipe.alias("chunks"))
 
