@@ -137,7 +137,7 @@ def fit(texts: list[bytes], labels: np.ndarray, settings: Settings | None = None
     train = np.flatnonzero(~calibrating)
 
     # vocabulary: buckets in some texts at least, the strongest evidence first
-    least = 2 + len(train) // 3000
+    least = 2 + min(len(train) // 1000, 3)
     size = 1 << s.hash_bits
     seen, bad = np.zeros(size), np.zeros(size)
     for i in train:
