@@ -24,6 +24,7 @@ CACHED_WORDS = 100_000
 
 U64 = np.uint64
 _SHIPPED: set[str] = set()
+_TABLES: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -58,16 +59,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: it survives lost executors and has a known size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the cleaner delete the shuffle files of finished steps."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has materialized; results that read them must be written before."""
+    jvm = spark._jvm
+    while _TABLES:
+        at = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:

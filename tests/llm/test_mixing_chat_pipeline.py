@@ -1,0 +1,144 @@
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from engram.llm import chat_format, mixing
+from engram.llm.common import materialize
+from engram.llm.oracle import ORACLES
+from engram.llm.queries import QUERIES
+
+from .conftest import words
+from .test_dedup import brute_groups, brute_lines
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(name, spark, sf_dir, duck, same):
+    same(QUERIES[name](spark, sf_dir).toPandas(), duck.sql(ORACLES[name]).df())
+
+
+def brute_targets(sizes, weights=(1, 2, 3), most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), {}
+    while True:
+        rest = total - sum(capped.values())
+        free = [s for s in order if s not in capped]
+        share = {s: rest * w[s] / sum(w[x] for x in free) for s in free} if free else {}
+        over = {s: most * sizes[s] for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return capped | share
+        capped |= over
+
+
+def test_mixing_targets_and_steps(docs, by_id, none, without_ids):
+    got = mixing.mix_sources(docs).toPandas()
+    again = mixing.mix_sources(docs.repartition(3)).toPandas()
+    key = ["doc_id", "copies"]
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    rows = docs.select("doc_id", "source").toPandas()
+    sizes = {}
+    for i, s in rows.itertuples(index=False):
+        sizes[s] = sizes.get(s, 0) + len(words(by_id[i]))
+    want = brute_targets(sizes)
+    got = got.merge(rows.drop_duplicates(), on="doc_id")
+    assert len(got) == len(rows)
+    for s, own in got.groupby("source", dropna=False):
+        s = None if s != s or s is None else s
+        assert own.target.iloc[0] == pytest.approx(want[s]) and own.source_size.iloc[0] == sizes[s]
+        rate = want[s] / max(sizes[s], 1)
+        assert abs(own.copies.sum() - rate * len(own)) < 1.001
+        assert own.copies.between(int(rate), -(-rate // 1)).all()
+    assert (got["size"] == got.doc_id.map(lambda i: len(words(by_id[i])))).all()
+    assert (got.taken <= 3 * got["size"]).all()
+    assert mixing.mix_sources(none).count() == 0 and mixing.mix_sources(without_ids).count() == 4
+
+
+@pytest.mark.parametrize("sizes", [[5, 5, 5], [1, 100, 1, 1000], [0, 0], [0, 7], [3, 1, 4, 1, 5, 9, 2, 6], [10**12, 1, 1]])
+def test_targets_equal_resharing(spark, sizes):
+    own = {f"s{i}" if i else None: n for i, n in enumerate(sizes)}
+    df = spark.createDataFrame(list(own.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df, (1, 2, 3)).collect()}
+    assert got == pytest.approx(brute_targets(own))
+
+
+def test_mix_comes_near_target(spark):
+    sizes = [1 + (i * 7919) % 400 for i in range(6000)]
+    rows = [(i, "w " * n, "a" if i % 3 else f"b{i % 4}") for i, n in enumerate(sizes)]
+    found = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in found.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) < 0.02 * r.target
+
+
+def test_mixed_documents_repeat_rows(docs):
+    copies = {(r.doc_id): r.c for r in mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("copies").alias("c")).collect()}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {i: c for i, c in copies.items() if c}
+
+
+def test_chat_round_trip(spark):
+    roles = ["system", "user", "assistant"]
+    rows = [(c, t, roles[0] if t == 0 and c % 2 else roles[1 + (t + c) % 2], [f"hello {t}?", "", "two\nlines", "\nlead and end\n", None][(c + t) % 5]) for c in range(40) for t in range(6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.chat_turns(chat_format.as_transcripts(turns)).toPandas().sort_values(["conv_id", "turn", "part"])
+    assert [(r.conv_id, r.turn, r.role, r.text) for r in got.itertuples()] == [(c, t, r, x or "") for c, t, r, x in rows]
+    assert got.rendered.iloc[0] == chat_format.render(got.role.iloc[0], got.text.iloc[0])
+
+
+def test_chat_roles_are_recovered_without_markers(spark):
+    text = "User: hi there?\nAssistant: hello\nmore of it\nUser: and now?"
+    rows = [(1, 0, text), (2, 0, "Human: a question?"), (2, 1, "an answer without a marker"), (2, 2, "Human: thanks")]
+    got = chat_format.chat_turns(spark.createDataFrame(rows, "conv_id long, turn long, text string")).orderBy("conv_id", "turn", "part").collect()
+    assert [(r.conv_id, r.part, r.role) for r in got] == [(1, 0, "user"), (1, 1, "assistant"), (1, 2, "user"), (2, 0, "user"), (2, 0, "assistant"), (2, 0, "user")]
+    assert got[1].text == "hello\nmore of it"
+
+
+def test_long_conversation_in_blocks(spark, monkeypatch):
+    rows = [(7, t, ("User: " if t % 4 == 0 else "Bot: " if t % 4 == 2 else "") + f"line {t}" + ("?" if t % 3 else "")) for t in range(100)]
+    df = spark.createDataFrame([*rows, (8, 0, "User: x"), (None, None, None)], "conv_id long, turn long, text string")
+    whole = sorted(map(str, chat_format.chat_turns(df).collect()))
+    monkeypatch.setattr(chat_format, "BLOCK", 9)
+    assert sorted(map(str, chat_format.chat_turns(df).collect())) == whole
+    assert chat_format.chat_turns(df.where("false")).count() == 0
+
+
+def test_line_classes_are_counted(spark):
+    turns = spark.createDataFrame([("user", "why?\nwhy?"), ("assistant", "- a\n- b"), ("other", "x"), (None, None)], "role string, text string")
+    p = chat_format.fit_classes(turns)
+    assert all(sum(c) == pytest.approx(1) for c in p.classes) and p.classes[1][1] > chat_format.Parameters().classes[1][1]
+
+
+def test_pipeline_stages(spark, docs, by_id, labels, tmp_path):
+    """Each stage against a brute-force version on what the stage before it kept."""
+    sf_dir = str(tmp_path)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf_dir}/documents.parquet")
+    labels.write.parquet(f"{sf_dir}/labels.parquet")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, kept = table.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, table = table, materialize(stage(spark, table, sf_dir), "stage")
+        kept[name] = table.toPandas()
+        texts = {r.doc_id: r.text for r in before.collect()} if name != "packing" else {}
+        if name != "packing":
+            assert table.columns == columns
+        if name == "quality classifier":
+            assert set(kept[name].doc_id) <= set(by_id)
+        elif name == "line dedup":
+            assert dict(zip(kept[name].doc_id, kept[name].text, strict=True)) == {i: t for i, (_, _, t) in brute_lines(texts).items()}
+            assert (kept[name].n_chars == kept[name].text.map(len)).all()
+        elif name == "n-gram Jaccard join":
+            assert set(kept[name].doc_id) == {i for i, (_, c) in brute_groups(texts).items() if i == c}
+        elif name == "mixing sources to target weights":
+            copies = mixing.mix_sources(before).toPandas()
+            assert len(kept[name]) == copies.copies.sum()
+        else:
+            assert kept[name][kept[name].start == 0].shape[0] == before.count()
+    assert corpus_pipeline.run(spark, sf_dir).count() == len(kept["packing"])
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_without_rows(spark, none, labels, tmp_path):
+    none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
