@@ -108,7 +108,7 @@ def frequent_tokens(texts: DataFrame, words: int, total: int, least: int) -> np.
             yield result(bucket, [_three(x) for x in parts])
 
     sent = texts.mapInArrow(send, "bucket int, keys binary")
-    hits = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "p long")
+    hits = sent.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "p long")
     return bitmap(hits, "p", FREQUENT_BITS)
 
 
@@ -195,7 +195,7 @@ def shared_prefixes(members: DataFrame, frequent: np.ndarray, words: int, percen
                     yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(times.astype(np.int64))], ["a", "b", "shared"])
 
     sent = members.mapInArrow(send, "bucket int, keys binary, groups binary")
-    met = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, shared long")
+    met = sent.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, shared long")
     return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 

@@ -111,7 +111,7 @@ def repeated_edges(texts: DataFrame, window: int, total: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own[cut[:-1]]), pa.array([keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["spot", "edges"])
 
     sent = texts.mapInArrow(send, "bucket int, keys binary, owners binary")
-    return sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "spot long, edges binary")
+    return sent.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(meet, "spot long, edges binary")
 
 
 def _rows_in_order(table: pa.Table) -> tuple[list[int], list[bytes]]:
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     by_chunk = lambda t: t.withColumn("chunk", chunk).groupBy("chunk")
     sent = by_chunk(shared).cogroup(by_chunk(edges)).applyInArrow(paths, "bucket int, chunk long, keys binary, docs binary, starts binary")
-    marked = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(later, "chunk long, keys binary")
+    marked = sent.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(later, "chunk long, keys binary")
     marked = materialize(marked, "marked")
     found = by_chunk(shared).cogroup(marked.groupBy("chunk")).applyInArrow(cut, result)
     return found.unionByName(alone)
