@@ -55,9 +55,10 @@ def mix_sources(
     the way up it takes back on the way down, and the words taken come near the target. The offset and the salts
     are hashes of seed, source and id: reruns agree.
 
-    A prefix sum is a rank times the expected copies. Ranks come from two levels, so that no source, however hot,
-    meets in one task: counts of (source, size class, salt) are summed along each source, a table of at most a few
-    hundred classes times the salts, and ranks are counted inside a cell. Salts grow with the number of rows.
+    A prefix sum is a rank times the expected copies. Ranks come from three levels, so that no source, however hot,
+    meets in one task: counts are summed along the classes of a source, of which there are a few hundred at any
+    size, then along the salts of a class, one row for each salt, and ranks are counted inside a cell of source,
+    class and salt. Salts grow with the number of rows.
 
     Null text: size 0; null source: a source of its own; documents of size 0 are ranked as others are, but take no
     words. Repeated rows count one by one. No rows give no rows. carry adds a column row, a struct of all columns
@@ -79,8 +80,11 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = targets(sources, weights, most).select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"), "source_size", "target", rate.alias("rate"), offset.alias("offset"))
     cells = sized.groupBy("key", "class", "salt").count()
-    along = W.partitionBy("key").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select("key", "class", "salt", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("base")).join(rates, "key")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = cells.groupBy("key", "class").agg(F.sum("count").alias("n"))
+    classes = classes.select("key", "class", before("n", W.partitionBy("key").orderBy("class")).alias("start")).join(rates, "key")
+    cells = cells.select("key", "class", "salt", before("count", W.partitionBy("key", "class").orderBy("salt")).alias("inside"))
+    cells = cells.join(classes, ["key", "class"]).withColumn("base", F.col("start") + F.col("inside")).drop("start", "inside")
     place = F.row_number().over(W.partitionBy("key", "class", "salt").orderBy("order", "doc_id"))
     ranked = rows.withColumn("place", place).join(cells, ["key", "class", "salt"])
     rank = F.col("base") + F.col("place")
