@@ -1,12 +1,20 @@
-"""python -m engram PATH: statements from the terminal, one a line."""
+"""python -m engram [--serve] [--config FILE] PATH: statements from the terminal, one a line, or a server.
+
+Passwords come from ENGRAM_PASSWORD (of admin) and ENGRAM_STORE_PASSWORD (of a sealed store).
+"""
 
 from __future__ import annotations
 
-import sys
+import argparse
+import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from . import log
+from .config import Config, from_toml
 from .schema import EngineError
+from .server import Server
 from .session import Engine
 
 
@@ -22,11 +30,15 @@ def table(columns: list[str], rows: list[list[str]]) -> str:
     return "\n".join([line, show(columns), line, *map(show, rows), line])
 
 
-def main(path: str) -> None:
+def main(path: str, config: Config = Config(), serve: bool = False) -> None:
     spark = SparkSession.builder.appName("engram").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    engine = Engine(spark, path)
+    log.start(config)
+    engine = Engine(spark, path, config, os.environ.get("ENGRAM_PASSWORD"), os.environ.get("ENGRAM_STORE_PASSWORD"))
+    if serve:
+        with Server(engine) as server:
+            server.serve_forever()
     with engine.session() as session:
-        while (text := input("engram> ").strip()) not in ("exit", "quit"):
+        while (text := input(config.prompt).strip()) not in ("exit", "quit"):
             if text in ("help", ""):
                 print("SELECT, INSERT, UPDATE, DELETE, SEARCH, RELATED, SHOW, USE, CREATE, DROP, BEGIN, COMMIT, ROLLBACK, exit")
                 continue
@@ -43,4 +55,9 @@ def main(path: str) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    args = argparse.ArgumentParser(prog="engram")
+    args.add_argument("path")
+    args.add_argument("--serve", action="store_true")
+    args.add_argument("--config", type=Path)
+    given = args.parse_args()
+    main(given.path, from_toml(given.config.read_text()) if given.config else Config(), given.serve)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
+import json
 import os
 
 from .schema import EngineError, checked_name
@@ -72,6 +74,17 @@ class Users:
         if on in own and not own[on]:
             del own[on]
 
+    def dump(self) -> str:
+        coded = {n: [base64.b64encode(x).decode() for x in pair] for n, pair in self.verifiers.items()}
+        return json.dumps({"verifiers": coded, "grants": {n: {on: sorted(ps) for on, ps in own.items()} for n, own in self.grants.items()}})
+
+    @classmethod
+    def load(cls, text: str, password_min_len: int = 8) -> Users:
+        raw, users = json.loads(text), cls(None, password_min_len)
+        users.verifiers = {n: tuple(map(base64.b64decode, pair)) for n, pair in raw["verifiers"].items()}
+        users.grants = {n: {on: set(ps) for on, ps in own.items()} for n, own in raw["grants"].items()}
+        return users
+
     def forget_db(self, db: str) -> None:
         for own in self.grants.values():
             own.pop(db, None)

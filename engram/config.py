@@ -23,6 +23,12 @@ class Config:
     password_min_len: int = 8
     cell_max: int = 60
     max_rows: int = 50
+    prompt: str = "engram> "
+    server_addr: str = "127.0.0.1:7777"
+    log_enabled: bool = True
+    log_file: str = ""  # none: nothing is logged
+    log_level: str = "info"
+    log_max_size: int = 10 << 20
 
 
 def _own(kind, section: dict, **names: str) -> dict:
@@ -40,7 +46,8 @@ def from_toml(text: str) -> Config:
     ranking = replace(Ranking(), **_own(Ranking, engine.get("search", {}), expansion_decay="decay", default_limit="limit"))
     cache = engine.get("cache", {})
     plain = _own(Config, {k: v for k, v in engine.items() if not isinstance(v, dict)}) | {k: cache[s] for s, k in (("query", "query_cache"), ("doc", "doc_cache"), ("hot_preload", "hot_preload")) if s in cache}
-    plain |= _own(Config, raw.get("cli", {})) | _own(Config, raw.get("auth", {}))
+    plain |= _own(Config, raw.get("cli", {})) | _own(Config, raw.get("auth", {})) | _own(Config, raw.get("server", {}), default_addr="server_addr")
+    plain |= _own(Config, {f"log_{k}": v for k, v in raw.get("logging", {}).items()})
     return checked(Config(ranking, extraction, **plain))
 
 
@@ -51,6 +58,7 @@ def checked(c: Config) -> Config:
         "search.expansion_decay": 0 <= r.decay <= 1, "search.similarity_weight": r.similarity_weight >= 0, "search.default_limit": r.limit > 0,
         "tokenizer.max_keywords": e.max_keywords > 0, "tokenizer.max_key_points": e.max_key_points >= 0, "tokenizer.min_keyword_len": e.min_keyword_len > 0,
         "engine.auto_checkpoint": c.auto_checkpoint > 0, "engine.max_content_len": c.max_content_len > 0, "cache.query": c.query_cache >= 0, "cache.doc": c.doc_cache >= 0,
+        "logging.level": c.log_level in ("debug", "info", "warn", "error"), "logging.max_size": c.log_max_size > 0, "server.default_addr": c.server_addr.rpartition(":")[2].isdigit(),
     }
     if wrong := [k for k, ok in rules.items() if not ok]:
         raise EngineError(f"configuration out of range: {', '.join(wrong)}")
