@@ -191,7 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "term_counts": lambda s, p: text.term_counts(_rows(s, p), ["db", "id"]),
     "keywords_top16": lambda s, p: ix.postings(index_of(s, p).memories).select("db", "id", "term", _weight()),
     "sentences": sentence_rows,
-    "bigrams": lambda s, p: _rows(s, p).select("db", "id", F.array_join(text.char_bigrams(F.left("content", F.lit(60))), "|").alias("bigrams")),
+    "bigrams": lambda s, p: _rows(s, p).select("db", "id", F.array_join(text.char_bigrams(F.col("content")), "|").alias("bigrams")),
     "jaccard": jaccard_rows,
     "key_points": key_points_rows,
     "tag_index": lambda s, p: ix.tag_index(index_of(s, p).memories),
