@@ -67,8 +67,15 @@ def sentence_rows(s: SparkSession, p: str) -> DataFrame:
 
 
 def jaccard_rows(s: SparkSession, p: str) -> DataFrame:
-    both = sentence_rows(s, p).where("place < 2").groupBy("db", "id").agg(F.min_by("sentence", "place").alias("a"), F.max_by("sentence", "place").alias("b"))
-    return both.select("db", "id", F.round(text.jaccard(text.char_bigrams(F.col("a")), text.char_bigrams(F.col("b"))), 4).alias("jaccard"))
+    """Each sentence of a memory against the next one; a memory's only sentence against itself."""
+
+    def pairs(g: Column) -> Column:
+        n = F.size(g)
+        return F.transform(F.slice(g, F.lit(1), F.greatest(n - 1, F.lit(1))), lambda a, i: F.round(text.jaccard(a, F.get(g, F.least(i + 1, n - 1))), 4))
+
+    grams = F.transform(text.sentences(F.col("content")), lambda x: F.array_distinct(text.char_bigrams(x)))
+    found = F.flatten(F.transform(F.array(grams), pairs))  # the outer transform binds the bigrams once
+    return _rows(s, p).select("db", "id", F.posexplode(found).alias("place", "jaccard"))
 
 
 def parsed_tags(s: SparkSession, p: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from engram.oracle import ORACLES
 from engram.queries import QUERIES
 
 LONG = "One two three four five six seven eight nine ten eleven twelve thirteen. " * 3 + "The end"
@@ -29,3 +30,20 @@ def brute_bigrams(text):
 def test_bigrams_of_whole_texts(spark, tables):
     found = {r.id: r.bigrams for r in QUERIES["bigrams"](spark, tables(TEXTS)).collect()}
     assert found == {i: "|".join(brute_bigrams(text)) for i, (_, text) in enumerate(TEXTS, 1)}
+
+
+def brute_jaccard(a, b):
+    x, y = set(brute_bigrams(a)), set(brute_bigrams(b))
+    return round(len(x & y) / len(x | y), 4) if x | y else 0.0
+
+
+def test_jaccard_of_all_sentences(spark, tables):
+    texts = [["One two three.", "One two four.", "Five six.", "Five six seven.", "One two three."], ["Only one here."], ["Same words.", "Same words."], []]
+    found = {(r.id, r.place): r.jaccard for r in QUERIES["jaccard"](spark, tables([("en", " ".join(t)) for t in texts])).collect()}
+    pairs = {(i, k): (t[k], t[min(k + 1, len(t) - 1)]) for i, t in enumerate(texts, 1) for k in range(max(len(t) - 1, min(len(t), 1)))}
+    assert len(pairs) == 6 and found == {k: brute_jaccard(*p) for k, p in pairs.items()}
+
+
+def test_first_pairs_equal_sql(spark, sf_dir, duck, same):
+    first = QUERIES["jaccard"](spark, sf_dir).where("place = 0").drop("place")
+    same(first.toPandas(), duck.sql(ORACLES["jaccard"]).df())
