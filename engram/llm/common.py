@@ -208,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
     handled by an aggregate and a join, which adaptive execution splits, and never gathered in one task.
     """
     edges = materialize(links.selectExpr("greatest(a, b) u", "least(a, b) v").where("u <> v").distinct(), "cc")
-    for _ in range(100):
+    while True:
         both = edges.unionByName(edges.selectExpr("v u", "u v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").selectExpr("v u", "m v").where("u <> v").distinct()
