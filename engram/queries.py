@@ -139,7 +139,7 @@ def candidates(s: SparkSession, p: str) -> DataFrame:
 
 
 def search_multi_db(s: SparkSession, p: str) -> DataFrame:
-    return rk.search(index_of(s, p), TEXT, dbs=list(ALL))
+    return rk.search(index_of(s, p), TEXT)
 
 
 def search_one_db(s: SparkSession, p: str) -> DataFrame:
@@ -159,7 +159,7 @@ def related_by_id(s: SparkSession, p: str) -> DataFrame:
 
 def related_cross_db(s: SparkSession, p: str) -> DataFrame:
     index = index_of(s, p)
-    return rk.related(index, "main", _seed(index), dbs=list(ALL))
+    return rk.related(index, "main", _seed(index), dbs=[r.db for r in index.stats.select("db").collect()])
 
 
 def related_two_hops(s: SparkSession, p: str) -> DataFrame:

@@ -47,3 +47,9 @@ def test_jaccard_of_all_sentences(spark, tables):
 def test_first_pairs_equal_sql(spark, sf_dir, duck, same):
     first = QUERIES["jaccard"](spark, sf_dir).where("place = 0").drop("place")
     same(first.toPandas(), duck.sql(ORACLES["jaccard"]).df())
+
+
+def test_searches_meet_databases_of_any_language(spark, tables):
+    path = tables([("en", "clown stupid trash idiot"), ("it", "clown stupid trash idiot"), ("it", "other words only"), ("en", "plain text here")])
+    for name in ("search_multi_db", "related_cross_db"):
+        assert ("it", 2) in {(r.db, r.id) for r in QUERIES[name](spark, path).collect()}, name
