@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,7 +181,95 @@ def only_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str, bits: i
     return df.withColumn("__position", where(column)).mapInArrow(keep, df.schema)
 
 
-# --- blobs: many small keys travel as sorted arrays, one row for each bucket ---------------------
+# --- blobs: many small keyed rows travel as sorted arrays, one binary value for each bucket --------
+
+#: Bits of a key that one shuffle deals out. Beyond HELD << STEP rows a second shuffle deals out as many again.
+STEP = 11
+#: Rows that a bucket holds, about.
+HELD = 1 << 20
+#: Rows gathered before a sorted run of them is sent.
+FLUSH = 1_000_000
+BLOBS = "bucket int, own long, rows binary"
+
+
+def bits_for(total: int) -> int:
+    """Bits of the bucket number for about `total` rows: buckets are in the thousands, or in the millions."""
+    return STEP if total <= HELD << STEP else 2 * STEP
+
+
+def partitions_for(total: int) -> int:
+    """Partitions that buckets are dealt out to: some thousands at most, each reads its buckets one by one."""
+    return int(min(4096, max(16, total // HELD)))
+
+
+def blob_batch(bucket: np.ndarray, own: np.ndarray | None, starts: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """BLOBS rows: rows[starts[i] : starts[i + 1]] for each bucket (or owner), without a copy."""
+    ends = (np.append(starts, len(rows)) * rows.itemsize).astype(np.int32)
+    values = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows).view(np.uint8))])
+    owner = pa.nulls(len(starts), pa.int64()) if own is None else pa.array(own.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), owner, values], ["bucket", "own", "rows"])
+
+
+def run_starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+
+
+def keyed(rows: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows of a structured array, sorted by their field key, as a blob for each bucket that has any."""
+    top = rows["key"] >> U64(64 - bits)
+    at = run_starts(top)
+    return blob_batch(top[at], None, at, rows)
+
+
+def dealt(sent: DataFrame, kind: np.dtype, total: int) -> DataFrame:
+    """BLOBS sorted by bucket in each partition; sent has buckets of the first STEP bits.
+
+    The number of partitions is bounded. Where buckets would be too large to hold, a second shuffle deals each of
+    them out again: its tasks gather many small blobs into sorted runs first, so that blobs stay large. Rows with
+    an owner pass through.
+    """
+    parts = partitions_for(total)
+    near = sent.repartition(parts, "bucket")
+    bits = bits_for(total)
+    if bits > STEP:
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in batches:
+                yield b.filter(pc.is_valid(b.column(1)))
+                for raw, own in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if own is None:
+                        held.append(np.frombuffer(raw, kind))
+                        n += len(held[-1])
+                    if n >= FLUSH:
+                        rows = np.concatenate(held)
+                        yield keyed(rows[np.argsort(rows["key"], kind="stable")], bits)
+                        held, n = [], 0
+            if held:
+                rows = np.concatenate(held)
+                yield keyed(rows[np.argsort(rows["key"], kind="stable")], bits)
+
+        near = near.mapInArrow(again, BLOBS).repartition(parts, "bucket")
+    return near.sortWithinPartitions("bucket")
+
+
+def each_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray | pa.RecordBatch]:
+    """The rows of each bucket, one bucket at a time and sorted by key; rows with an owner come as batches."""
+    last, parts = None, []
+    for b in batches:
+        yield b.filter(pc.is_valid(b.column(1)))
+        for bucket, own, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if own is not None:
+                continue
+            if bucket != last and parts:
+                rows, parts = np.concatenate(parts), []
+                yield rows[np.argsort(rows["key"], kind="stable")]
+            last = bucket
+            parts.append(np.frombuffer(raw, kind))
+    if parts:
+        rows = np.concatenate(parts)
+        yield rows[np.argsort(rows["key"], kind="stable")]
 
 
 def buckets_for(total: int, each: int = 1 << 20) -> int:

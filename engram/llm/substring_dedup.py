@@ -1,17 +1,22 @@
 """Word spans that occur earlier in the corpus are removed: a De Bruijn graph of word k-mers, compacted.
 
-Every run of `window` words holds a smallest k-mer, and equal runs hold the same one in the same place. So only
-those k-mers need to be edges of the graph, about one word in seven.
-
-1. Edges: sampled k-mers with their documents; edges with two or more places are the repeated ones.
-2. Paths: in documents that hold repeated edges, consecutive windows around them are the paths to check; a path's
-   windows meet those of other chunks of documents by their 64-bit hashes. A chunk sends a window once, with its
-   first source coordinates (document, start), so that a passage in a third of all documents stays small.
-3. Windows whose coordinates are not the first are marked; marked windows in a row compact into spans, and the
-   spans' words are removed from the texts.
-
-Graph edges and paths meet in plain shuffles by hash; no path is walked step by step, since the source
-coordinates of a path's windows are known from the start.
+The nodes are word k-mers, sampled: of each window's k-mers the smallest by hash, so that equal windows sample the
+same ones. Edges join the samples that follow one another in a text, with their distance; as k is over half a window,
+two samples on an edge leave no word between them out.
+
+1. Copies: of rows with the same text one is a unit of the graph; the others repeat it whole.
+2. Nodes: samples meet in buckets by hash, each with the edge before and the edge after it. A node of two places or
+   more is repeated. It is open to a side if all its places have the same edge there.
+3. Paths: an edge between two nodes that are open to each other does not branch, and all places of either node run
+   along it. So repeated nonbranching paths compact in each text, by its own places, into the same spans in all
+   texts that hold them, without a walk from text to text. What no path covers, windows over branches and ends,
+   stands for itself as a span of one window.
+4. Verification: a span is known by 128 bits of its own words, not of its nodes. A group-by gives the first source
+   coordinates (id, row, start) of each span, and a join marks those that are not the first.
+5. Marked spans are removed from the texts.
+
+A window in a path has the places of the path, and any other window has only places that no path covers: a window's
+smallest k-mer is sampled at all its places, and if that node lies in a path at one of them, so it does at all.
 """
 
 from __future__ import annotations
@@ -20,18 +25,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, bitmap, buckets_for, distinct_sorted, in_bitmap, materialize, prepare, split_buckets, window_hashes, word_hashes
-from .jaccard import _by_bucket
+from . import common
+from .common import BLOBS, U64, binary, bitmap, blob_batch, dealt, distinct_sorted, each_bucket, in_bitmap, keyed, materialize, mix, prepare, run_starts, window_hashes, word_hashes
 
-K = 8
-FLUSH = 1_000_000
-CHUNK_BYTES = 4 << 20
-#: Bits of the bitmap of documents that hold repeated edges: 2 MB, whatever the corpus.
-AFFECTED_BITS = 24
+#: Places of a node in one run of sent rows from which it is hot: its places then stay where they are, and the node
+#: counts as branching for all, so that no bucket gathers a passage of a third of all documents.
+HOT = 64
+#: Bits of the bitmaps of documents that hold copies, repeated nodes or marks: 2 MB, whatever the corpus.
+SPOT_BITS = 24
+#: Stands for a null id, after all others.
 _LAST = np.iinfo(np.int64).max
+_PLACE = np.dtype([("key", "<u8"), ("spot", "<i8"), ("at", "<i4"), ("before", "<u8"), ("after", "<u8")])
+_FORWARD, _BACK = 1, 2
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def node_size(window: int) -> int:
+    return window // 2 + 1
 
 
 def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -43,82 +57,160 @@ def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
     return best(x[: len(x) - (w - done)], x[w - done :]) if w > done else x
 
 
-def sampled_edges(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """From word hashes: the edge of each window, and the hash of each sampled edge, one for each place."""
-    w = window - K + 1
-    g = window_hashes(h, K)
-    if len(g) < w:
-        return g[:0], g[:0]
+def sampled(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From word hashes: each k-mer's hash, the smallest one of each window, and the places of the samples."""
+    g = window_hashes(h, node_size(window))
+    w = window - node_size(window) + 1
     least = _slide(g, w, np.minimum)
     pad = np.zeros(w - 1, U64)
-    return least, g[_slide(np.concatenate((pad, least, pad)), w, np.maximum) == g]
+    return g, least, np.flatnonzero(_slide(np.concatenate((pad, least, pad)), w, np.maximum) == g)
 
 
 def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
     at = np.searchsorted(known, x)
     at[at == len(known)] = 0
-    return known[at] == x
+    return known[at] == x if len(known) else np.zeros(len(x), bool)
+
 
+def _column(b: pa.RecordBatch, name: str) -> list:
+    return b.column(b.schema.get_field_index(name)).to_pylist()
 
-def repeated_edges(texts: DataFrame, window: int, total: int) -> DataFrame:
-    """(chunk, spot, edges): edges with two places or more, by the chunk of documents that hold them."""
-    bits = buckets_for(total // 6)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, owners, n = [], [], 0
+def send_places(units: DataFrame, window: int) -> DataFrame:
+    """BLOBS of samples with their edges; places of hot nodes come as answers to their own texts already."""
 
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            own = np.repeat(np.array([o for o, _ in owners], np.int64), [m for _, m in owners])
-            order = np.argsort(keys, kind="stable")
-            keys, own = keys[order], own[order]
-            out = [(k, keys[i:j].tobytes(), own[i:j].tobytes()) for k, i, j in split_buckets(keys, bits)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "keys", "owners"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows["key"], kind="stable")]
+            starts = run_starts(rows["key"])
+            sizes = np.diff(np.append(starts, len(rows)))
+            if (sizes > HOT).any():
+                hot = np.repeat(sizes > HOT, sizes)
+                yield _answers(rows[hot]["spot"], rows[hot]["at"] << 2)
+                news = rows[starts[sizes > HOT]]
+                news["at"] = -1  # says that the node is hot
+                rows = np.concatenate((rows[~hot], news))
+                rows = rows[np.argsort(rows["key"], kind="stable")]
+            yield keyed(rows, common.STEP)
 
         for b in batches:
-            for text, spot in zip(binary(b, "text"), b.column(b.schema.get_field_index("spot")).to_pylist(), strict=True):
+            for text, spot in zip(binary(b, "text"), _column(b, "spot"), strict=True):
                 words = text.split()
                 if len(words) < window:
                     continue
-                edges = sampled_edges(word_hashes(words), window)[1]
-                held.append(edges)
-                owners.append((spot, len(edges)))
-                n += len(edges)
-                if n >= FLUSH:
-                    yield flush()
-                    held, owners, n = [], [], 0
+                g, _, at = sampled(word_hashes(words), window)
+                rows = np.zeros(len(at), _PLACE)
+                rows["key"], rows["spot"], rows["at"] = g[at], spot, at
+                far = np.diff(at).astype(U64)
+                rows["after"][:-1] = mix(rows["key"][1:] + mix(far))
+                rows["before"][1:] = mix(rows["key"][:-1] + mix(far))
+                held.append(rows)
+                n += len(rows)
+                if n >= common.FLUSH:
+                    yield from flush()
+                    held, n = [], 0
         if n:
-            yield flush()
+            yield from flush()
+
+    return units.mapInArrow(run, BLOBS)
+
+
+def _answers(spot: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """Values by text, as BLOBS with an owner."""
+    order = np.lexsort((value, spot))
+    spot, value = spot[order], value[order]
+    at = run_starts(spot)
+    return blob_batch(spot[at] & ((1 << common.STEP) - 1), spot[at], at, value.astype("<i4"))
+
+
+def repeated_nodes(units: DataFrame, window: int, total: int) -> DataFrame:
+    """(own, rows): for the texts that hold repeated nodes, their places there (times 4) and open sides."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _by_bucket(batches):
-            keys = np.concatenate([np.frombuffer(k, U64) for k, _ in parts])
-            own = np.concatenate([np.frombuffer(o, np.int64) for _, o in parts])
-            order = np.argsort(keys, kind="stable")
-            keys, own = keys[order], own[order]
-            same = keys[1:] == keys[:-1]
-            again = np.zeros(len(keys), bool)
-            again[1:] |= same
-            again[:-1] |= same
-            keys, own = keys[again], own[again]
-            order = np.lexsort((keys, own))
-            keys, own = keys[order], own[order]
-            edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, int)
-            for i in range(0, len(edges) - 1, 4096):
-                cut = edges[i : i + 4097]
-                yield pa.RecordBatch.from_arrays([pa.array(own[cut[:-1]]), pa.array([keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["spot", "edges"])
-
-    sent = texts.mapInArrow(send, "bucket int, keys binary, owners binary")
-    return sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "spot long, edges binary")
-
-
-def _rows_in_order(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    ids = [_LAST if x is None else x for x in table.column("doc_id").to_pylist()]
-    texts = [x.encode() if x else b"" for x in table.column("text").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+        for rows in each_bucket(batches, _PLACE):
+            if isinstance(rows, pa.RecordBatch):
+                yield rows
+                continue
+            starts = run_starts(rows["key"])
+            sizes = np.diff(np.append(starts, len(rows)))
+            hot = np.minimum.reduceat(rows["at"], starts) < 0
+            alike = lambda side: np.minimum.reduceat(rows[side], starts) == np.maximum.reduceat(rows[side], starts)  # noqa: B023, E731
+            sides = np.where(hot, 0, alike("after") * _FORWARD + alike("before") * _BACK)
+            mine = np.repeat((sizes > 1) | hot, sizes) & (rows["at"] >= 0)
+            if mine.any():
+                yield _answers(rows["spot"][mine], (rows["at"] << 2)[mine] + np.repeat(sides, sizes)[mine])
+
+    found = dealt(send_places(units, window), _PLACE, total).mapInArrow(meet, BLOBS)
+    return found.selectExpr("own spot", "rows marks")
+
+
+def text_spans(h: np.ndarray, words: list[bytes], marks: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(key, proof, start, size) of the spans to judge, from a text's words and its repeated nodes.
+
+    Nonbranching paths of at least a window are one span each; other windows whose smallest k-mer is repeated are
+    spans of their own.
+    """
+    k = node_size(window)
+    g, least, _ = sampled(h, window)
+    marks = np.sort(marks)
+    at, sides = marks >> 2, marks & 3
+    windows = _member(least, distinct_sorted(g[at]))
+    on = (sides[:-1] & _FORWARD > 0) & (sides[1:] & _BACK > 0)
+    begins = np.concatenate(([True], ~on))
+    starts, ends = at[begins], at[np.append(begins[1:], True)] + k
+    long = ends - starts >= window
+    starts, ends = starts[long], ends[long]
+    inside = np.zeros(len(windows) + 1, np.int32)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends - window + 1, -1)
+    alone = np.flatnonzero(windows & (np.cumsum(inside[:-1]) == 0))
+    proofs = [xxhash.xxh3_128_intdigest(b" ".join(words[i:j])) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    paths = np.array([(p >> 64, p & (2**64 - 1)) for p in proofs], U64).reshape(-1, 2)
+    again = mix(h ^ U64(0xD6E8FEB86659FD93))
+    key = np.concatenate((paths[:, 0], window_hashes(h, window)[alone]))
+    proof = np.concatenate((paths[:, 1], window_hashes(again, window)[alone]))
+    size = np.concatenate((ends - starts, np.full(len(alone), window)))
+    return key.view(np.int64), proof.view(np.int64), np.concatenate((starts, alone)), size
+
+
+def _units(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to compare (doc, row, proof, spot, text), those of them that stand for copies, and the copies.
+
+    Rows with the same text are copies of the one with the smallest id; the latter are (row, proof, doc, times).
+    The first result lacks what the second holds. Only texts that have copies are shuffled, once for each task.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit("second"), text).alias("proof"), text.alias("text"))
+    rows = rows.withColumn("spot", F.xxhash64("doc", "row"))
+    classes = rows.groupBy("row", "proof").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    classes = materialize(classes, "copied-texts")
+    known = rows.sparkSession.sparkContext.broadcast(bitmap(classes.select(_spot("row").alias("p")), "p", SPOT_BITS))
+    maybe = rows.mapInArrow(_picked(known, "row", True), rows.schema).join(classes, ["row", "proof"], "left")
+    single = maybe.where("n IS NULL").select(rows.columns)
+    copied = maybe.where("n IS NOT NULL")
+    one = copied.groupBy("row", "proof").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).withColumn("spot", F.xxhash64("doc", "row"))
+    stand = materialize(single.unionByName(one), "units")
+    each = copied.groupBy("row", "proof", "doc", "first").agg(F.count("*").alias("c"))
+    extra = each.selectExpr("row", "proof", "doc", "c - if(doc = first, 1, 0) times").where("times > 0")
+    return rows.mapInArrow(_picked(known, "row", False), rows.schema), stand, materialize(extra, "copies")
+
+
+def _spot(column: str):
+    return F.pmod(F.col(column), F.lit(1 << SPOT_BITS))
+
+
+def _picked(known, column: str, wanted: bool):
+    """Rows whose hash is (or is not) in a bitmap of fixed size; exact joins follow where it matters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.schema.get_field_index(column)).to_numpy() & ((1 << SPOT_BITS) - 1)
+            yield b.filter(pa.array(in_bitmap(known.value, at) == wanted))
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,107 +219,71 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Words are [^\x20\x09-\x0D]+, unchanged. A word goes if a window of `window` words of its document covers it
     whose sequence also starts earlier: in a smaller id, or earlier in the same document. All windows are judged on
     the input. Null, empty and short texts lose nothing. Ids are integers; rows without an id come after all
-    others, and rows that repeat an id come one after the other, in the order of their texts. No rows give no
-    rows; other columns are ignored.
+    others. Rows that share an id come one after the other, in the order of a hash of their texts, and of rows that
+    repeat both one is the first. No rows give no rows; other columns are ignored, whatever their names. A long
+    text is held whole in one task, with a few arrays as long as its words.
     """
     spark = prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("spot", F.xxhash64(F.col("doc_id")))
-    size = int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
-    chunks = max(32, size // CHUNK_BYTES)
-    bits = buckets_for(size // 12)
-    chunk = F.pmod(F.col("spot"), F.lit(chunks)).alias("chunk")
-
-    edges = materialize(repeated_edges(texts, window, size // 6), "edges")
-    place = F.pmod(F.col("spot"), F.lit(1 << AFFECTED_BITS))
-    affected = spark.sparkContext.broadcast(bitmap(edges.select(place.alias("p")).distinct(), "p", AFFECTED_BITS))
-
-    def some(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = b.column(b.schema.get_field_index("spot")).to_numpy() & ((1 << AFFECTED_BITS) - 1)
-                hit = in_bitmap(affected.value, at)
-                if wanted:
-                    yield b.filter(pa.array(hit))
-                else:
-                    b = b.filter(pa.array(~hit))
-                    words = [t.split() for t in binary(b, "text")]
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], ["doc_id", "n_words", "n_removed", "text"])
-
-        return run
-
-    shared = texts.mapInArrow(some(True), texts.schema)
-    result = "doc_id long, n_words long, n_removed long, text string"
-    alone = texts.mapInArrow(some(False), result)
-
-    def paths(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The windows around repeated edges, once each, at their first place in the chunk."""
-        at = left.column("chunk")[0].as_py() if len(left) else 0
-        known = distinct_sorted(np.concatenate([np.frombuffer(x, U64) for x in right.column("edges").to_pylist()])) if len(right) else np.empty(0, U64)
-        keys, docs_, starts = [], [], []
-        for own, text in zip(*_rows_in_order(left), strict=True):
-            words = text.split()
-            if len(words) < window:
-                continue
-            h = word_hashes(words)
-            here = np.flatnonzero(_member(sampled_edges(h, window)[0], known))
-            keys.append(window_hashes(h, window)[here])
-            docs_.append(np.full(len(here), own, np.int64))
-            starts.append(here.astype(np.int32))
-        if not keys:
-            return pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), *(pa.array([], pa.binary()) for _ in range(3))], ["bucket", "chunk", "keys", "docs", "starts"])
-        keys, docs_, starts = np.concatenate(keys), np.concatenate(docs_), np.concatenate(starts)
-        keys, first = np.unique(keys, return_index=True)  # rows are in order: the first place of each
-        docs_, starts = docs_[first], starts[first]
-        out = [(k, at, keys[i:j].tobytes(), docs_[i:j].tobytes(), starts[i:j].tobytes()) for k, i, j in split_buckets(keys, bits)]
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["bucket", "chunk", "keys", "docs", "starts"])
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk, the windows that start earlier in another chunk."""
-        for _, parts in _by_bucket(batches):
-            keys = np.concatenate([np.frombuffer(p[1], U64) for p in parts])
-            own = np.concatenate([np.full(len(p[1]) // 8, p[0], np.int64) for p in parts])
-            ids = np.concatenate([np.frombuffer(p[2], np.int64) for p in parts])
-            starts = np.concatenate([np.frombuffer(p[3], np.int32) for p in parts])
-            order = np.lexsort((starts, ids, keys))
-            keys, own = keys[order], own[order]
-            late = np.concatenate(([False], keys[1:] == keys[:-1]))
-            keys, own = keys[late], own[late]
-            order = np.argsort(own, kind="stable")
-            keys, own = keys[order], own[order]
-            edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, int)
-            if len(edge) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]]), pa.array([keys[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["chunk", "keys"])
-
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.sort(np.concatenate([np.frombuffer(x, U64) for x in right.column("keys").to_pylist()])) if len(right) else np.empty(0, U64)
-        ids, texts_ = _rows_in_order(left)
-        every = [window_hashes(word_hashes(t.split()), window) for t in texts_]
-        keys = np.concatenate(every) if every else np.empty(0, U64)
-        gone = np.ones(len(keys), bool)
-        gone[np.unique(keys, return_index=True)[1]] = False
-        gone |= _member(keys, known)
-        at, rows = 0, []
-        for own, text, e in zip(ids, texts_, every, strict=True):
-            words = text.split()
-            mine = np.flatnonzero(gone[at : at + len(e)])
-            at += len(e)
-            removed = 0
-            if len(mine):  # marked windows in a row compact into spans
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, mine, 1)
-                np.add.at(edge, mine + window, -1)
-                stay = np.cumsum(edge[:-1]) == 0
-                removed = len(words) - int(stay.sum())
-                words = [words[i] for i in np.flatnonzero(stay).tolist()]
-            rows.append((None if own == _LAST else own, len(words) + removed, removed, b" ".join(words).decode()))
-        cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "text"])
-
-    by_chunk = lambda t: t.withColumn("chunk", chunk).groupBy("chunk")
-    sent = by_chunk(shared).cogroup(by_chunk(edges)).applyInArrow(paths, "bucket int, chunk long, keys binary, docs binary, starts binary")
-    marked = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(later, "chunk long, keys binary")
-    marked = materialize(marked, "marked")
-    found = by_chunk(shared).cogroup(marked.groupBy("chunk")).applyInArrow(cut, result)
-    return found.unionByName(alone)
+    total = int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // 32  # samples, about
+    rest, stand, copies = _units(docs, id_col, text_col)
+    units = rest.unionByName(stand.select(rest.columns))
+
+    # repeated nodes, and the spans of their paths
+    nodes = materialize(repeated_nodes(units, window, total), "nodes")
+    affected = spark.sparkContext.broadcast(bitmap(nodes.select(_spot("spot").alias("p")).distinct(), "p", SPOT_BITS))
+    held = units.mapInArrow(_picked(affected, "spot", True), units.schema)
+    held = held.join(nodes.groupBy("spot").agg(F.collect_list("marks").alias("marks")), "spot").select("doc", "row", "spot", "text", "marks")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for doc, row, text, marks in zip(_column(b, "doc"), _column(b, "row"), binary(b, "text"), _column(b, "marks"), strict=True):
+                words = text.split()
+                spans = text_spans(word_hashes(words), words, np.frombuffer(b"".join(marks), "<i4"), window)
+                n = len(spans[0])
+                found.append((*spans, np.full(n, doc, np.int64), np.full(n, row, np.int64)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["key", "proof", "start", "size", "doc", "row"])
+
+    spans = materialize(held.mapInArrow(judge, "key long, proof long, start long, size long, doc long, row long"), "spans")
+    place = F.struct("doc", "row", "start")
+    firsts = spans.groupBy("key", "proof").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = spans.join(materialize(firsts, "firsts"), ["key", "proof"]).where(place != F.col("first"))
+    late = late.groupBy("doc", "row").agg(F.collect_list(F.expr("shiftleft(start, 32) | size")).alias("gone"))
+    late = materialize(late, "late").withColumn("spot", F.xxhash64("doc", "row"))
+
+    # texts that lose words, and all others
+    marked = spark.sparkContext.broadcast(bitmap(late.select(_spot("spot").alias("p")).distinct(), "p", SPOT_BITS))
+    result = "doc long, n_words long, n_removed long, text string"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = _column(b, "gone") if "gone" in b.schema.names else [None] * b.num_rows
+            out = []
+            for text, mine in zip(binary(b, "text"), gone, strict=True):
+                words, removed = text.split(), 0
+                if mine:
+                    mine = np.array(mine, np.int64)
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(edge, mine >> 32, 1)
+                    np.add.at(edge, (mine >> 32) + (mine & (2**32 - 1)), -1)
+                    stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+                    removed = len(words) - len(stay)
+                    words = [words[i] for i in stay.tolist()]
+                out.append((len(words) + removed, removed, b" ".join(words).decode()))
+            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc", "n_words", "n_removed", "text"])
+
+    alone = units.mapInArrow(_picked(marked, "spot", False), units.schema).select("doc", "text").mapInArrow(cut, result)
+    losing = units.mapInArrow(_picked(marked, "spot", True), units.schema).join(late.drop("spot"), ["doc", "row"], "left")
+    losing = losing.select("doc", "text", "gone").mapInArrow(cut, result)
+
+    # copies repeat a text with a smaller id (or the same row): all of it, if it has a window
+    own = stand.select("row", "proof", F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("n_words"), "text")
+    again = copies.join(own, ["row", "proof"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    whole = F.col("n_words") >= window
+    short = F.array_join(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)), " ")
+    again = again.select("doc", "n_words", F.when(whole, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(whole, F.lit("")).otherwise(short).alias("text"))
+    out = alone.unionByName(losing).unionByName(again)
+    return out.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "text")

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from engram.llm import exact_dedup, jaccard, line_dedup, substring_dedup
+from engram.llm import common, exact_dedup, jaccard, line_dedup, substring_dedup
 
 from .conftest import lower, words
 
@@ -134,16 +134,44 @@ def brute_spans(texts, window=20):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4 << 20, 64])
-def test_spans_equal_brute_force(docs, by_id, chunk, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(substring_dedup, "FLUSH", 300)
+@pytest.mark.parametrize("setting", [{}, {"FLUSH": 300}, {"FLUSH": 300, "HELD": 1, "STEP": 4}, {"FLUSH": 2000, "HOT": 5}])
+def test_spans_equal_brute_force(docs, by_id, setting, monkeypatch):
+    for name, value in setting.items():
+        monkeypatch.setattr(substring_dedup if name == "HOT" else common, name, value)
     once = docs.dropDuplicates(["doc_id"])
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(once).collect()}
     assert got == brute_spans(by_id)
 
 
-def test_spans_without_ids_or_rows(none, without_ids, docs, by_id):
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(df).collect()}
+
+
+def test_spans_that_branch_and_cycle(spark):
+    rng = random.Random(11)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c, d = some(30), some(45), some(25), some(33)
+    ring = some(27)
+    texts = [a + b, a + c, d + b, b[5:] + c[:21], a[3:] + b[:30], ring * 4, ring[9:] + ring * 2, some(10) + ring, b + b + a, ["z"] * 70, ["z"] * 41 + a, c[2:], c[:20], c[1:20], (a + b + c + d) * 2]
+    texts += [some(rng.randrange(5)) + a[rng.randrange(9) : 30 - rng.randrange(9)] + some(rng.randrange(5)) + rng.choice([b, c, d]) for _ in range(60)]
+    texts = [" ".join(t) for t in texts]
+    assert spans_of(spark, texts) == brute_spans(dict(enumerate(texts)))
+
+
+def test_spans_over_small_alphabets(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("ab" if i % 2 else "abcde") for _ in range(rng.randrange(20, 300))) for i in range(80)]
+    assert spans_of(spark, texts) == brute_spans(dict(enumerate(texts)))
+
+
+def test_spans_without_ids_or_rows(spark, none, without_ids, docs, by_id):
     assert substring_dedup.remove_repeats(none).count() == 0
     assert substring_dedup.remove_repeats(without_ids).count() == 4
     assert substring_dedup.remove_repeats(docs).count() == len(by_id) + 2
+    w = [f"u{i}" for i in range(60)]
+    rows = [(None, " ".join(w[:30])), (7, " ".join(w)), (7, " ".join(w)), (7, "\t" + " ".join(w[:40])), (None, " ".join(w)), (3, " ".join(w[50:])), (3, " ".join(w[50:]))]
+    got = sorted((r.doc_id or 99, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the two rows 7 that are alike: one stays; the third is before or after them by its hash
+    assert got[:2] == [(3, 10, 0)] * 2 and got[5:] == [(99, 30, 30), (99, 60, 60)]
+    assert got[2:5] in ([(7, 40, 40), (7, 60, 0), (7, 60, 60)], [(7, 40, 0), (7, 60, 40), (7, 60, 60)])
