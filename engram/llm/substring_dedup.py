@@ -12,7 +12,8 @@ two samples on an edge leave no word between them out.
    texts that hold them, without a walk from text to text. What no path covers, windows over branches and ends,
    stands for itself as a span of one window.
 4. Verification: a span is known by 128 bits of its own words, not of its nodes. A group-by gives the first source
-   coordinates (id, row, start) of each span, and a join marks those that are not the first.
+   coordinates (id, spot, start) of each path's span, and a join marks those that are not the first. Windows meet in
+   buckets; of the windows in one run of sent rows only the first goes there, the others are marked at once.
 5. Marked spans are removed from the texts.
 
 A window in a path has the places of the path, and any other window has only places that no path covers: a window's
@@ -32,15 +33,21 @@ from pyspark.sql import functions as F
 from . import common
 from .common import BLOBS, U64, binary, bitmap, blob_batch, dealt, distinct_sorted, each_bucket, in_bitmap, keyed, materialize, mix, prepare, run_starts, window_hashes, word_hashes
 
+#: Rows gathered before a sorted run of them is sent.
+FLUSH = 250_000
 #: Places of a node in one run of sent rows from which it is hot: its places then stay where they are, and the node
 #: counts as branching for all, so that no bucket gathers a passage of a third of all documents.
-HOT = 64
+HOT = 16
 #: Bits of the bitmaps of documents that hold copies, repeated nodes or marks: 2 MB, whatever the corpus.
 SPOT_BITS = 24
 #: Stands for a null id, after all others.
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.dtype([("key", "<u8"), ("spot", "<i8"), ("at", "<i4"), ("before", "<u8"), ("after", "<u8")])
+_WINDOW = np.dtype([("key", "<u8"), ("proof", "<u8"), ("doc", "<i8"), ("spot", "<i8"), ("start", "<i4")])
+_PATH = np.dtype([("key", "<i8"), ("proof", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
 _FORWARD, _BACK = 1, 2
+#: Added to the bucket of rows that carry paths.
+_PATHS = 1 << 30
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,7 +116,7 @@ def send_places(units: DataFrame, window: int) -> DataFrame:
                 rows["before"][1:] = mix(rows["key"][:-1] + mix(far))
                 held.append(rows)
                 n += len(rows)
-                if n >= common.FLUSH:
+                if n >= FLUSH:
                     yield from flush()
                     held, n = [], 0
         if n:
@@ -147,11 +154,11 @@ def repeated_nodes(units: DataFrame, window: int, total: int) -> DataFrame:
     return found.selectExpr("own spot", "rows marks")
 
 
-def text_spans(h: np.ndarray, words: list[bytes], marks: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(key, proof, start, size) of the spans to judge, from a text's words and its repeated nodes.
+def text_spans(h: np.ndarray, words: list[bytes], marks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The paths (key, proof, start, size; doc is left open) and windows to judge, from a text's words and its nodes.
 
     Nonbranching paths of at least a window are one span each; other windows whose smallest k-mer is repeated are
-    spans of their own.
+    given by their starts.
     """
     k = node_size(window)
     g, least, _ = sampled(h, window)
@@ -166,53 +173,139 @@ def text_spans(h: np.ndarray, words: list[bytes], marks: np.ndarray, window: int
     inside = np.zeros(len(windows) + 1, np.int32)
     np.add.at(inside, starts, 1)
     np.add.at(inside, ends - window + 1, -1)
-    alone = np.flatnonzero(windows & (np.cumsum(inside[:-1]) == 0))
+    paths = np.zeros(len(starts), _PATH)
     proofs = [xxhash.xxh3_128_intdigest(b" ".join(words[i:j])) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-    paths = np.array([(p >> 64, p & (2**64 - 1)) for p in proofs], U64).reshape(-1, 2)
-    again = mix(h ^ U64(0xD6E8FEB86659FD93))
-    key = np.concatenate((paths[:, 0], window_hashes(h, window)[alone]))
-    proof = np.concatenate((paths[:, 1], window_hashes(again, window)[alone]))
-    size = np.concatenate((ends - starts, np.full(len(alone), window)))
-    return key.view(np.int64), proof.view(np.int64), np.concatenate((starts, alone)), size
+    paths["key"] = np.array([p >> 64 for p in proofs], U64).view(np.int64)
+    paths["proof"] = np.array([p & (2**64 - 1) for p in proofs], U64).view(np.int64)
+    paths["start"], paths["size"] = starts, ends - starts
+    return paths, np.flatnonzero(windows & (np.cumsum(inside[:-1]) == 0))
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows to compare (doc, row, proof, spot, text), those of them that stand for copies, and the copies.
+def _first_of_each(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in the order of key and place, and which of them are the first of their words."""
+    rows = rows[np.lexsort((rows["start"], rows["spot"], rows["doc"], rows["proof"], rows["key"]))]
+    same = (rows["key"][1:] == rows["key"][:-1]) & (rows["proof"][1:] == rows["proof"][:-1])
+    return rows, np.concatenate(([True], ~same))
 
-    Rows with the same text are copies of the one with the smallest id; the latter are (row, proof, doc, times).
-    The first result lacks what the second holds. Only texts that have copies are shuffled, once for each task.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit("second"), text).alias("proof"), text.alias("text"))
-    rows = rows.withColumn("spot", F.xxhash64("doc", "row"))
-    classes = rows.groupBy("row", "proof").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
-    classes = materialize(classes, "copied-texts")
-    known = rows.sparkSession.sparkContext.broadcast(bitmap(classes.select(_spot("row").alias("p")), "p", SPOT_BITS))
-    maybe = rows.mapInArrow(_picked(known, "row", True), rows.schema).join(classes, ["row", "proof"], "left")
-    single = maybe.where("n IS NULL").select(rows.columns)
-    copied = maybe.where("n IS NOT NULL")
-    one = copied.groupBy("row", "proof").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).withColumn("spot", F.xxhash64("doc", "row"))
-    stand = materialize(single.unionByName(one), "units")
-    each = copied.groupBy("row", "proof", "doc", "first").agg(F.count("*").alias("c"))
-    extra = each.selectExpr("row", "proof", "doc", "c - if(doc = first, 1, 0) times").where("times > 0")
-    return rows.mapInArrow(_picked(known, "row", False), rows.schema), stand, materialize(extra, "copies")
+
+def send_spans(held: DataFrame, window: int) -> DataFrame:
+    """BLOBS of windows to judge; paths, and windows that are not the first of their run, have an owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, first = _first_of_each(np.concatenate(some))
+            if not first.all():
+                yield _answers(rows["spot"][~first], rows["start"][~first])
+            yield keyed(rows[first], common.STEP)
+
+        for b in batches:
+            found, owners = [], []
+            for doc, spot, text, marks in zip(_column(b, "doc"), _column(b, "spot"), binary(b, "text"), _column(b, "marks"), strict=True):
+                words = text.split()
+                h = word_hashes(words)
+                paths, at = text_spans(h, words, np.frombuffer(b"".join(marks), "<i4"), window)
+                if len(paths):
+                    paths["doc"] = doc
+                    found.append(paths)
+                    owners.append(spot)
+                rows = np.zeros(len(at), _WINDOW)
+                rows["key"], rows["proof"] = window_hashes(h, window)[at], window_hashes(mix(h ^ U64(0xD6E8FEB86659FD93)), window)[at]
+                rows["doc"], rows["spot"], rows["start"] = doc, spot, at
+                some.append(rows)
+                n += len(rows)
+                if n >= FLUSH:
+                    yield from flush()
+                    some, n = [], 0
+            if found:
+                own = np.array(owners, np.int64)
+                at = np.cumsum([0] + [len(x) for x in found[:-1]])
+                yield blob_batch(_PATHS + (own & ((1 << common.STEP) - 1)), own, at, np.concatenate(found))
+        if n:
+            yield from flush()
+
+    return held.mapInArrow(run, BLOBS)
+
+
+def late_windows(sent: DataFrame, total: int) -> DataFrame:
+    """BLOBS with owners only: the starts of windows that are not the first, and the paths."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in each_bucket(batches, _WINDOW):
+            if isinstance(rows, pa.RecordBatch):
+                yield rows
+                continue
+            rows, first = _first_of_each(rows)
+            if not first.all():
+                yield _answers(rows["spot"][~first], rows["start"][~first])
+
+    return dealt(sent, _WINDOW, total).mapInArrow(settle, BLOBS)
+
+
+def late_paths(paths: DataFrame) -> DataFrame:
+    """(spot, gone): of the paths (own, rows), start << 32 | size of those that are not the first of their words."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [np.frombuffer(x, _PATH) for x in _column(b, "rows")]
+            if some:
+                rows = np.concatenate(some)
+                spot = np.repeat(b.column(0).to_numpy(), [len(x) for x in some])
+                yield pa.RecordBatch.from_arrays([pa.array(spot), *(pa.array(np.ascontiguousarray(rows[c]).astype(np.int64)) for c in _PATH.names)], ["spot", *_PATH.names])
+
+    spans = paths.select("own", "rows").mapInArrow(parse, "spot long, key long, proof long, doc long, start long, size long")
+    place = F.struct("doc", "spot", "start")
+    firsts = spans.groupBy("key", "proof").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = spans.join(materialize(firsts, "firsts"), ["key", "proof"]).where(place != F.col("first"))
+    return late.groupBy("spot").agg(F.collect_list(F.expr("shiftleft(start, 32) | size")).alias("gone"))
 
 
 def _spot(column: str):
     return F.pmod(F.col(column), F.lit(1 << SPOT_BITS))
 
 
-def _picked(known, column: str, wanted: bool):
-    """Rows whose hash is (or is not) in a bitmap of fixed size; exact joins follow where it matters."""
+def _picked(*wanted):
+    """A filter of batches by (bitmap of hashes, column, whether it must hold the hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(b.schema.get_field_index(column)).to_numpy() & ((1 << SPOT_BITS) - 1)
-            yield b.filter(pa.array(in_bitmap(known.value, at) == wanted))
+            for known, column, inside in wanted:
+                at = b.column(b.schema.get_field_index(column)).to_numpy() & ((1 << SPOT_BITS) - 1)
+                b = b.filter(pa.array(in_bitmap(known.value, at) == inside))
+            yield b
 
     return run
 
 
+class Units:
+    """The texts to compare, one of each that copies share: rows (doc, row, proof, spot, text).
+
+    Rows with the same text are copies of the one with the smallest id. Texts without copies are read where they lie
+    (rows, less those in a bitmap of fixed size); the rest, which an exact join has told apart, are stored.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit("second"), text).alias("proof"), text.alias("text"))
+        self.rows = rows = rows.withColumn("spot", F.xxhash64("doc", "row", "proof"))
+        classes = rows.groupBy("row", "proof").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+        classes = materialize(classes, "copied-texts")
+        self.copied = rows.sparkSession.sparkContext.broadcast(bitmap(classes.select(_spot("row").alias("p")), "p", SPOT_BITS))
+        maybe = rows.mapInArrow(_picked((self.copied, "row", True)), rows.schema).join(classes, ["row", "proof"], "left")
+        copies = maybe.where("n IS NOT NULL")
+        one = copies.groupBy("row", "proof").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).withColumn("spot", F.xxhash64("doc", "row", "proof"))
+        self.stored = materialize(maybe.where("n IS NULL").select(rows.columns).unionByName(one), "units")
+        #: (row, proof, doc, times): the copies beside the one that stands for them
+        each = copies.groupBy("row", "proof", "doc", "first").agg(F.count("*").alias("c"))
+        self.copies = materialize(each.selectExpr("row", "proof", "doc", "c - if(doc = first, 1, 0) times").where("times > 0"), "copies")
+
+    def where(self, *wanted) -> DataFrame:
+        """The units whose hashes are, or are not, in further bitmaps."""
+        near = self.rows.mapInArrow(_picked((self.copied, "row", False), *wanted), self.rows.schema)
+        return near.unionByName(self.stored.mapInArrow(_picked(*wanted), self.rows.schema).select(self.rows.columns))
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""One row for each document: doc_id, n_words, n_removed and text (kept words, joined by one space).
 
@@ -225,32 +318,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     spark = prepare(docs.sparkSession)
     total = int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // 32  # samples, about
-    rest, stand, copies = _units(docs, id_col, text_col)
-    units = rest.unionByName(stand.select(rest.columns))
+    units = Units(docs, id_col, text_col)
 
     # repeated nodes, and the spans of their paths
-    nodes = materialize(repeated_nodes(units, window, total), "nodes")
+    nodes = materialize(repeated_nodes(units.where(), window, total), "nodes")
     affected = spark.sparkContext.broadcast(bitmap(nodes.select(_spot("spot").alias("p")).distinct(), "p", SPOT_BITS))
-    held = units.mapInArrow(_picked(affected, "spot", True), units.schema)
-    held = held.join(nodes.groupBy("spot").agg(F.collect_list("marks").alias("marks")), "spot").select("doc", "row", "spot", "text", "marks")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for doc, row, text, marks in zip(_column(b, "doc"), _column(b, "row"), binary(b, "text"), _column(b, "marks"), strict=True):
-                words = text.split()
-                spans = text_spans(word_hashes(words), words, np.frombuffer(b"".join(marks), "<i4"), window)
-                n = len(spans[0])
-                found.append((*spans, np.full(n, doc, np.int64), np.full(n, row, np.int64)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["key", "proof", "start", "size", "doc", "row"])
-
-    spans = materialize(held.mapInArrow(judge, "key long, proof long, start long, size long, doc long, row long"), "spans")
-    place = F.struct("doc", "row", "start")
-    firsts = spans.groupBy("key", "proof").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = spans.join(materialize(firsts, "firsts"), ["key", "proof"]).where(place != F.col("first"))
-    late = late.groupBy("doc", "row").agg(F.collect_list(F.expr("shiftleft(start, 32) | size")).alias("gone"))
-    late = materialize(late, "late").withColumn("spot", F.xxhash64("doc", "row"))
+    held = units.where((affected, "spot", True)).join(nodes.groupBy("spot").agg(F.collect_list("marks").alias("marks")), "spot")
+    found = materialize(late_windows(send_spans(held.select("doc", "spot", "text", "marks"), window), total), "found")
+    windows = found.where(F.col("bucket") < _PATHS).groupBy(F.col("own").alias("spot")).agg(F.collect_list("rows").alias("windows"))
+    paths = late_paths(found.where(F.col("bucket") >= _PATHS))
+    late = materialize(windows.join(paths, "spot", "full"), "late")
 
     # texts that lose words, and all others
     marked = spark.sparkContext.broadcast(bitmap(late.select(_spot("spot").alias("p")).distinct(), "p", SPOT_BITS))
@@ -258,15 +335,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = _column(b, "gone") if "gone" in b.schema.names else [None] * b.num_rows
             out = []
-            for text, mine in zip(binary(b, "text"), gone, strict=True):
+            for text, starts, gone in zip(binary(b, "text"), _column(b, "windows"), _column(b, "gone"), strict=True):
                 words, removed = text.split(), 0
-                if mine:
-                    mine = np.array(mine, np.int64)
+                if starts or gone:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, mine >> 32, 1)
-                    np.add.at(edge, (mine >> 32) + (mine & (2**32 - 1)), -1)
+                    alone = np.frombuffer(b"".join(starts or []), "<i4")
+                    paths = np.array(gone or [], np.int64)
+                    np.add.at(edge, alone, 1)
+                    np.add.at(edge, alone + window, -1)
+                    np.add.at(edge, paths >> 32, 1)
+                    np.add.at(edge, (paths >> 32) + (paths & (2**32 - 1)), -1)
                     stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                     removed = len(words) - len(stay)
                     words = [words[i] for i in stay.tolist()]
@@ -275,15 +354,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             kinds = (pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc", "n_words", "n_removed", "text"])
 
-    alone = units.mapInArrow(_picked(marked, "spot", False), units.schema).select("doc", "text").mapInArrow(cut, result)
-    losing = units.mapInArrow(_picked(marked, "spot", True), units.schema).join(late.drop("spot"), ["doc", "row"], "left")
-    losing = losing.select("doc", "text", "gone").mapInArrow(cut, result)
+    losing = units.where((marked, "spot", True)).join(late, "spot", "left").select("doc", "text", "windows", "gone").mapInArrow(cut, result)
+    words = F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))
+    alone = units.where((marked, "spot", False)).select("doc", words.alias("w"))
+    alone = alone.select("doc", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("w", " ").alias("text"))
 
     # copies repeat a text with a smaller id (or the same row): all of it, if it has a window
-    own = stand.select("row", "proof", F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("n_words"), "text")
-    again = copies.join(own, ["row", "proof"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    whole = F.col("n_words") >= window
-    short = F.array_join(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)), " ")
-    again = again.select("doc", "n_words", F.when(whole, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(whole, F.lit("")).otherwise(short).alias("text"))
+    own = units.stored.select("row", "proof", words.alias("w"))
+    again = units.copies.join(own, ["row", "proof"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    n, whole = F.size("w").cast("long"), F.size("w") >= window
+    again = again.select("doc", n.alias("n_words"), F.when(whole, n).otherwise(F.lit(0)).alias("n_removed"), F.when(whole, F.lit("")).otherwise(F.array_join("w", " ")).alias("text"))
     out = alone.unionByName(losing).unionByName(again)
     return out.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "text")

@@ -134,10 +134,10 @@ def brute_spans(texts, window=20):
     return out
 
 
-@pytest.mark.parametrize("setting", [{}, {"FLUSH": 300}, {"FLUSH": 300, "HELD": 1, "STEP": 4}, {"FLUSH": 2000, "HOT": 5}])
+@pytest.mark.parametrize("setting", [{}, {"FLUSH": 300, "HOT": 64}, {"FLUSH": 300, "HELD": 1, "STEP": 4}, {"FLUSH": 2000, "HOT": 5}])
 def test_spans_equal_brute_force(docs, by_id, setting, monkeypatch):
     for name, value in setting.items():
-        monkeypatch.setattr(substring_dedup if name == "HOT" else common, name, value)
+        monkeypatch.setattr(common if name in ("HELD", "STEP") else substring_dedup, name, value)
     once = docs.dropDuplicates(["doc_id"])
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(once).collect()}
     assert got == brute_spans(by_id)
