@@ -163,22 +163,39 @@ def in_bitmap(words: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (words[position >> U64(6)] >> (position & U64(63))) & U64(1) != 0
 
 
-def only_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str, bits: int = 22) -> DataFrame:
-    """Drop, before any shuffle, most rows whose id is not among ids.
+#: Bits of the bitmaps that filter by id before a shuffle: 0.5 MB, whatever the corpus.
+ID_BITS = 22
+
+
+def id_bitmap(ids: DataFrame, column: str):
+    """A broadcast bitmap of the hashes of a column. It has a fixed size: once it fills up, it saves less."""
+    words = bitmap(ids.select(F.pmod(F.xxhash64(F.col(column)), F.lit(1 << ID_BITS)).alias("p")), "p", ID_BITS)
+    return ids.sparkSession.sparkContext.broadcast(words)
 
-    The broadcast is a bitmap of 2**bits bits whatever the corpus; rows that pass by a collision are removed by
-    the join that follows, so that results are exact and only its saving fades once the bitmap fills up.
-    """
-    where = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
-    words = bitmap(ids.select(where(id_column).alias("p")), "p", bits)
-    shared = df.sparkSession.sparkContext.broadcast(words)
+
+def by_bitmap(df: DataFrame, column: str, known, inside: bool) -> DataFrame:
+    """The rows whose hash is in the bitmap (among them some others), or those whose hash is not."""
+    at = fresh(df, "position")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mask = in_bitmap(shared.value, b.column(b.num_columns - 1).to_numpy())
+            mask = in_bitmap(known.value, b.column(b.num_columns - 1).to_numpy()) == inside
             yield b.filter(pa.array(mask)).select(range(b.num_columns - 1))
 
-    return df.withColumn("__position", where(column)).mapInArrow(keep, df.schema)
+    return df.withColumn(at, F.pmod(F.xxhash64(F.col(column)), F.lit(1 << ID_BITS))).mapInArrow(keep, df.schema)
+
+
+def only_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Drop, before any shuffle, most rows whose id is not among ids; an exact join has to follow."""
+    return by_bitmap(df, column, id_bitmap(ids, id_column), True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # --- blobs: many small keyed rows travel as sorted arrays, one binary value for each bucket --------
@@ -199,7 +216,7 @@ def bits_for(total: int) -> int:
 
 def partitions_for(total: int) -> int:
     """Partitions that buckets are dealt out to: some thousands at most, each reads its buckets one by one."""
-    return int(min(4096, max(16, total // HELD)))
+    return min(8192, max(16, total >> 18))
 
 
 def blob_batch(bucket: np.ndarray, own: np.ndarray | None, starts: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -234,57 +251,53 @@ def dealt(sent: DataFrame, kind: np.dtype, total: int) -> DataFrame:
     bits = bits_for(total)
     if bits > STEP:
 
+        low = 8 * kind["key"].itemsize
+
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
+            held, tops, n = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                rows = np.concatenate(held)
+                key = rows["key"].astype(U64)
+                top = key >> U64(64 - bits) if low == 64 else (np.concatenate(tops) << U64(STEP)) | (key >> U64(low - STEP))
+                order = np.argsort(top, kind="stable")
+                top = top[order]
+                at = run_starts(top)
+                return blob_batch(top[at], None, at, rows[order])
+
             for b in batches:
                 yield b.filter(pc.is_valid(b.column(1)))
-                for raw, own in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for bucket, own, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if own is None:
                         held.append(np.frombuffer(raw, kind))
+                        tops.append(np.full(len(held[-1]), bucket, U64))
                         n += len(held[-1])
                     if n >= FLUSH:
-                        rows = np.concatenate(held)
-                        yield keyed(rows[np.argsort(rows["key"], kind="stable")], bits)
-                        held, n = [], 0
+                        yield flush()
+                        held, tops, n = [], [], 0
             if held:
-                rows = np.concatenate(held)
-                yield keyed(rows[np.argsort(rows["key"], kind="stable")], bits)
+                yield flush()
 
         near = near.mapInArrow(again, BLOBS).repartition(parts, "bucket")
     return near.sortWithinPartitions("bucket")
 
 
-def each_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray | pa.RecordBatch]:
-    """The rows of each bucket, one bucket at a time and sorted by key; rows with an owner come as batches."""
+def each_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int | None, np.ndarray | pa.RecordBatch]]:
+    """Bucket and rows of each, one bucket at a time and sorted by key; rows with an owner come as batches of None."""
     last, parts = None, []
     for b in batches:
-        yield b.filter(pc.is_valid(b.column(1)))
+        yield None, b.filter(pc.is_valid(b.column(1)))
         for bucket, own, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if own is not None:
                 continue
             if bucket != last and parts:
                 rows, parts = np.concatenate(parts), []
-                yield rows[np.argsort(rows["key"], kind="stable")]
+                yield last, rows[np.argsort(rows["key"], kind="stable")]
             last = bucket
             parts.append(np.frombuffer(raw, kind))
     if parts:
         rows = np.concatenate(parts)
-        yield rows[np.argsort(rows["key"], kind="stable")]
-
-
-def buckets_for(total: int, each: int = 1 << 20) -> int:
-    """Bits of the bucket number, so that a bucket holds about `each` keys at any size of the corpus."""
-    return max(4, int(np.ceil(np.log2(max(total, 1) / each))) if total > each else 4)
-
-
-def split_buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """Bucket, start and end of each run of equal top bits in sorted keys."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits))
-    at = 0
-    for bucket, end in enumerate([*edges.tolist(), len(keys)]):
-        if end > at:
-            yield bucket, at, end
-        at = end
+        yield last, rows[np.argsort(rows["key"], kind="stable")]
 
 
 # --- connected components ---------------------------------------------------------------------

@@ -3,16 +3,17 @@
 Stages, none of which moves all pairs of anything:
 
 1. Documents with one shingle set form a class; its smallest id stands for it.
-2. Groups of similar documents: classes that share a min-hash are compared with the first of them. Exact links are
-   closed; a class that is only half alike joins the group as a loose member. Thousands of near copies so become
-   one group, in one comparison each.
+2. Groups of similar documents: classes that share a min-hash are compared with the first of them, and exact links
+   are closed. Thousands of near copies so become one group, in three comparisons each.
 3. Token-group matrix: for each group the union of its members' prefix tokens. A document's prefix are its
-   n - ceil(t n) + 1 first tokens in one global order; two sets of similarity t or more share a prefix token.
-   The order puts tokens of many documents last (a bitmap of fixed size says which; any order is correct), so
-   that a passage in many documents makes no candidates.
-4. A pair of groups is opened only if what their prefixes share, and what can lie beyond them, is enough; a group
-   is opened to its own loose members. There, a query document's overlap with the members is counted at once, but
-   only if its overlap with the union of their sets is enough.
+   n - ceil(t n) + 1 first tokens in one global order; two sets of similarity t or more share a prefix token. Its
+   index tokens are the first n - ceil(2 t n / (1 + t)) + 1 of them; the smaller of two linked sets has a shared one
+   there. The order puts tokens of many documents last (any order is correct). Groups meet at a rare token if both
+   hold it, at a frequent one only if one of them has it among its index tokens: of documents that share a passage
+   and are not alike enough, the index tokens are their own, and they do not meet.
+4. A pair of groups is opened only if what their prefixes share, and what can lie beyond it, is enough. There, a
+   query document's overlap with the members is counted at once, but only if its overlap with the union of their
+   sets is enough.
 5. The links close the groups.
 """
 
@@ -26,190 +27,216 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, bitmap, buckets_for, components, distinct_sorted, in_bitmap, materialize, only_ids, prepare, shingles, split_buckets
+from . import common
+from .common import BLOBS, U64, binary, bitmap, blob_batch, by_bitmap, components, dealt, each_bucket, fresh, id_bitmap, in_bitmap, keyed, materialize, mix, only_ids, prepare, run_starts, shingles
 
-#: Members of a group that are compared in one go, and queries that meet them in one task.
-CHUNK = 256
-ASK = 512
-#: Percent of similarity to a group's first class that makes a loose member.
-LOOSE = 50
-#: Tokens of at least so many documents come last in the global order.
+#: Tokens of the members of a group that are compared in one go, and least tokens of the queries that meet them.
+MEMBERS = 1 << 20
+ASK = 1 << 18
+#: Tokens of at least so many documents come last in the global order: so many or a power of four times as many, the
+#: least with which the bitmap of such tokens is a quarter full at most.
 FREQUENT = 24
-#: Bits of the bitmap of such tokens: 2 MB, whatever the corpus.
+#: Bits of that bitmap: 2 MB, whatever the corpus.
 FREQUENT_BITS = 24
-#: Keys gathered before sorted runs of them are sent.
-FLUSH = 1_000_000
+#: A token of so many powers of four more documents is hot: its places are dealt out to SALTS buckets.
+HOT_LEVELS = 4
+SALTS = 64
+#: A run of sent rows counts a token so often at most: enough for the first limit, and no token floods its bucket.
+TIMES = 32
+#: Rows gathered before sorted runs of them are sent.
+FLUSH = 500_000
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_COUNTED = np.dtype([("key", "<u4")])  # the 32 bits of a token after those of its bucket
+_ENTRY = np.dtype([("key", "<u8"), ("grp", "<i8"), ("late", "<u2")])
+#: Bit of an entry whose group meets all others at this token.
+_MEETS = np.uint16(1 << 15)
+_PROFILE = np.dtype([("n", "<i8"), ("c1", "<i8"), ("c2", "<i8"), ("k", "<i8", 3)])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
 
 
-def profiles(texts: DataFrame, words: int) -> DataFrame:
-    """(id, n, c1, c2, k0, k1, k2): size of the set, 128 bits that stand for it, and three min-hashes."""
+def _places(tokens: np.ndarray) -> np.ndarray:
+    """Places in the bitmap of frequent tokens, from the bits of a token that are counted."""
+    return ((tokens >> U64(32 - common.STEP)) * U64(_SPREAD[0])) >> U64(64 - FREQUENT_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text in binary(b, "text"):
-                s = shingles(text, words)
-                if len(s):
-                    d = xxhash.xxh3_128_intdigest(s.tobytes())
-                    rows.append((len(s), d >> 64, d & (2**64 - 1), *(int((s * U64(m)).min()) for m in _SPREAD)))
-                else:
-                    rows.append((0,) * 6)
-            cols = np.array(rows, U64).reshape(-1, 6).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[:, k]) for k in range(6))], ["id", "n", "c1", "c2", "k0", "k1", "k2"])
-
-    return texts.mapInArrow(run, "id long, n long, c1 long, c2 long, k0 long, k1 long, k2 long")
 
+def profiles(texts: DataFrame, words: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, c1, c2, k0, k1, k2) of each document, and (place, level) of tokens in FREQUENT documents or more.
 
-def _position(key: np.ndarray, bits: int) -> np.ndarray:
-    """Place of a token in the bitmap of frequent ones, from its first bits + 24 bits."""
-    return ((key >> U64(40 - bits)) * U64(_SPREAD[0])) >> U64(64 - FREQUENT_BITS)
-
-
-def frequent_tokens(texts: DataFrame, words: int, total: int, least: int) -> np.ndarray:
-    """The bitmap of tokens that at least `least` documents hold.
-
-    Tokens travel as sorted runs of 24-bit remainders in buckets whose number follows the corpus. Two tokens that
-    agree in these bits count as one, which only changes their place in the order.
+    n is the size of a document's set, c1 and c2 are 128 bits that stand for it, k are three min-hashes. Tokens are
+    counted in the same pass: they travel as sorted runs of 32-bit remainders in buckets. Two tokens that agree in
+    the 43 bits that count are one, which only changes their place in the order. A level is a power of four.
     """
-    bits = buckets_for(total)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
-            out = [(k, np.ascontiguousarray((keys[i:j] >> U64(40 - bits)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()) for k, i, j in split_buckets(keys, bits)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], ["bucket", "keys"])
+            keys = np.sort(np.concatenate(held)) >> U64(32 - common.STEP)
+            starts = run_starts(keys)
+            sizes = np.diff(np.append(starts, len(keys)))
+            keys = np.repeat(keys[starts], np.minimum(sizes, TIMES))
+            top = keys >> U64(32)
+            at = run_starts(top)
+            return blob_batch(top[at], None, at, keys.astype("<u4"))
 
         for b in batches:
-            for text in binary(b, "text"):
-                if len(s := shingles(text, words)):
+            ids = b.column(0).to_numpy()
+            rows = np.zeros(len(ids), _PROFILE)
+            for i, text in enumerate(binary(b, "text")):
+                s = shingles(text, words)
+                if len(s):
+                    d = xxhash.xxh3_128_intdigest(s.tobytes())
+                    rows[i] = (len(s), *np.array([d >> 64, d & (2**64 - 1)], U64).view(np.int64), np.array([(s * U64(m)).min() for m in _SPREAD], U64).view(np.int64))
                     held.append(s)
                     n += len(s)
-                if n >= FLUSH:
-                    yield flush()
-                    held, n = [], 0
+            if len(ids):
+                yield blob_batch(mix(ids.view(U64)) >> U64(64 - common.STEP), ids, np.arange(len(ids)), rows)
+            if n >= FLUSH:
+                yield flush()
+                held, n = [], 0
         if n:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(bucket: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(parts))
-            hit = keys[least - 1 :][keys[least - 1 :] == keys[: len(keys) - least + 1]] if len(keys) >= least else keys[:0]
-            full = (U64(bucket) << U64(64 - bits)) | (distinct_sorted(hit).astype(U64) << U64(40 - bits))
-            return pa.RecordBatch.from_arrays([pa.array(_position(full, bits).astype(np.int64))], ["p"])
-
-        for bucket, parts in _by_bucket(batches):
-            yield result(bucket, [_three(x) for x in parts])
-
-    sent = texts.mapInArrow(send, "bucket int, keys binary")
-    hits = sent.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(count, "p long")
-    return bitmap(hits, "p", FREQUENT_BITS)
-
-
-def _three(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel()
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """The blobs of each bucket, from batches sorted by bucket; further columns come as tuples."""
-    last, parts = None, []
-    for b in batches:
-        cols = [b.column(k).to_pylist() for k in range(1, b.num_columns)]
-        for bucket, *row in zip(b.column(0).to_pylist(), *cols, strict=True):
-            if bucket != last and parts:
-                yield last, parts
-                parts = []
-            last = bucket
-            parts.append(row[0] if len(row) == 1 else tuple(row))
-    if parts:
-        yield last, parts
-
-
-def shared_prefixes(members: DataFrame, frequent: np.ndarray, words: int, percent: int, bits: int, frequency_bits: int) -> DataFrame:
-    """(a, b, shared): pairs of groups, a < b, and the number of prefix tokens that their unions share.
-
-    members is (id, text, grp). Tokens of a flush are made distinct by (token, group): the union that a group sends
-    does not grow with its copies.
+        def out(kind: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+            filled = [*cols, *[np.zeros(len(cols[0]), np.int64)] * (7 - len(cols))]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(c) for c in filled)], ["kind", "id", "n", "c1", "c2", "k0", "k1", "k2"])
+
+        for bucket, rows in each_bucket(batches, _COUNTED):
+            if bucket is None:
+                if rows.num_rows:
+                    p = np.concatenate([np.frombuffer(x, _PROFILE) for x in rows.column(2).to_pylist()])
+                    yield out(0, [rows.column(1).to_numpy(), *(np.ascontiguousarray(x) for x in (p["n"], p["c1"], p["c2"], *p["k"].T))])
+                continue
+            starts = run_starts(rows["key"])
+            sizes = np.diff(np.append(starts, len(rows)))
+            often = sizes >= FREQUENT
+            if often.any():
+                low = rows["key"][starts[often]].astype(U64)
+                tokens = U64(bucket >> (bits - common.STEP)) << U64(64 - common.STEP) | low << U64(32 - common.STEP)
+                yield out(1, [_places(tokens).astype(np.int64), (np.log2(sizes[often] / FREQUENT) // 2).astype(np.int64)])
+
+    bits = common.bits_for(total)
+    found = dealt(texts.mapInArrow(send, BLOBS), _COUNTED, total).mapInArrow(count, "kind int, id long, n long, c1 long, c2 long, k0 long, k1 long, k2 long")
+    found = materialize(found, "profiles")
+    return found.where("kind = 0").drop("kind"), found.where("kind = 1").select(F.col("id").alias("p"), F.col("n").cast("int").alias("level"))
+
+
+def frequent_tokens(hits: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of frequent tokens and, among them, of hot ones."""
+    rows = {r["level"]: r["count"] for r in hits.groupBy("level").count().collect()}  # a row for each power of four
+    level = 0
+    while sum(n for k, n in rows.items() if k >= level) > (1 << FREQUENT_BITS) // 4:
+        level += 1
+    return bitmap(hits.where(F.col("level") >= level), "p", FREQUENT_BITS), bitmap(hits.where(F.col("level") >= level + HOT_LEVELS), "p", FREQUENT_BITS)
+
+
+def _up(x: int) -> int:
+    """x on a scale of 15 bits, rounded up."""
+    return int(np.ceil(np.log2(x + 1) * 1000))
+
+
+def shared_prefixes(members: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int, total: int) -> DataFrame:
+    """(a, b, shared, missed): pairs of groups, a < b, that meet at a token.
+
+    members is (grp, text). shared is the number of tokens at which they meet; what else of two members' prefixes is
+    shared are frequent tokens outside the index tokens of both, at most `missed`. Rows are made one by (token,
+    group) in each run, so that the union that a group sends does not grow with its copies.
     """
     spark = members.sparkSession
-    known = spark.sparkContext.broadcast(frequent)  # 2 ** FREQUENT_BITS bits
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, groups, n = [], [], 0
+    known = spark.sparkContext.broadcast(frequent)  # 2 * 2 ** FREQUENT_BITS bits
 
-        def flush() -> pa.RecordBatch:
-            keys, own = np.concatenate(held), np.repeat(np.array([g for g, _ in groups], np.int64), [m for _, m in groups])
-            order = np.lexsort((own, keys))
-            keys, own = keys[order], own[order]
-            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])))
-            keys, own = keys[new], own[new]
-            out = [(k, keys[i:j].tobytes(), own[i:j].tobytes()) for k, i, j in split_buckets(keys, bits)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "keys", "groups"])
+    def union(rows: np.ndarray) -> np.ndarray:
+        """One row for each (token, group): the most that can be missed, and whether it is an index token."""
+        rows = rows[np.lexsort((rows["grp"], rows["key"]))]
+        first = np.flatnonzero(np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["grp"][1:] != rows["grp"][:-1]))))
+        late = np.maximum.reduceat(rows["late"] & ~_MEETS, first) | np.maximum.reduceat(rows["late"] & _MEETS, first)
+        rows = rows[first]
+        rows["late"] = late
+        return rows
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             for text, group in zip(binary(b, "text"), b.column(b.schema.get_field_index("grp")).to_pylist(), strict=True):
                 s = shingles(text, words)
                 size = len(s)
                 if not size:
                     continue
-                often = in_bitmap(known.value, _position(s, frequency_bits))
-                s = np.concatenate((s[~often], s[often]))[: size + (-percent * size) // 100 + 1]
-                held.append(s)
-                groups.append((group, len(s)))
-                n += len(s)
+                place = _places(s)
+                often, hot = in_bitmap(known.value[0], place), in_bitmap(known.value[1], place)
+                order = np.argsort(often.astype(np.int8) + hot, kind="stable")[: size + (-percent * size) // 100 + 1]
+                s, often, hot = s[order], often[order], hot[order]
+                index = np.arange(len(s)) < size + (-2 * percent * size) // (100 + percent) + 1
+                rows = np.zeros(len(s), _ENTRY)
+                rows["key"], rows["grp"], rows["late"] = s, group, _up(int((often & ~index).sum()))
+                rows["late"][index | ~often] |= _MEETS
+                if hot.any():  # index tokens go to all salts, others to one
+                    salted = rows[hot]
+                    own = mix(np.array([group], np.int64).view(U64))[0] % U64(SALTS)
+                    spread = np.repeat(rows[hot & index], SALTS)
+                    salted["key"] = mix(salted["key"] + own + U64(1))
+                    spread["key"] = mix(spread["key"] + np.tile(np.arange(1, SALTS + 1, dtype=U64), (hot & index).sum()))
+                    rows = np.concatenate((rows[~hot], salted, spread))
+                held.append(rows)
+                n += len(rows)
                 if n >= FLUSH:
-                    yield flush()
-                    held, groups, n = [], [], 0
+                    yield keyed(union(np.concatenate(held)), common.STEP)
+                    held, n = [], 0
         if n:
-            yield flush()
+            yield keyed(union(np.concatenate(held)), common.STEP)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _by_bucket(batches):
-            keys = np.concatenate([np.frombuffer(k, U64) for k, _ in parts])
-            own = np.concatenate([np.frombuffer(g, np.int64) for _, g in parts])
-            order = np.lexsort((own, keys))
-            keys, own = keys[order], own[order]
-            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])))
-            keys, own = keys[new], own[new]
-            edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-            sizes = np.diff(edges)
-            starts, sizes = edges[:-1][sizes > 1], sizes[sizes > 1]
-            for step in range(1, int(sizes.max(initial=1))):
-                # the groups of a token meet in order: each with the one `step` further on
-                live = sizes > step
-                starts, sizes = starts[live], sizes[live]
-                reach = sizes - step
-                at = np.repeat(starts - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(reach.sum())
-                for i in range(0, len(at), 1 << 20):
-                    some = at[i : i + (1 << 20)]
-                    pair = np.stack((own[some], own[some + step]), 1)
-                    pair, times = np.unique(pair, axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(times.astype(np.int64))], ["a", "b", "shared"])
-
-    sent = members.mapInArrow(send, "bucket int, keys binary, groups binary")
-    met = sent.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, shared long")
-    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-
-
-def verify(texts: DataFrame, members: DataFrame, queries: DataFrame, words: int, percent: int, loose: int | None = None) -> DataFrame:
-    """Links (a, b, close) between members (grp, id) and queries (grp, id) of a group; close: percent is reached.
-
-    With loose, pairs that only reach that percentage are given, too. Large groups are dealt out: CHUNK members and
-    about ASK of the queries meet in a task's run of rows, members first. The task holds the sets of these members
-    as one sorted index and one query at a time. A query is looked up only if its overlap with the union of the
-    members' sets is enough.
+        for bucket, rows in each_bucket(batches, _ENTRY):
+            if bucket is None:
+                continue
+            rows = union(rows)
+            own, late = rows["grp"], rows["late"] & ~_MEETS
+            starts = run_starts(rows["key"])
+            sizes = np.diff(np.append(starts, len(rows)))
+            run = np.repeat(np.arange(len(starts)), sizes)
+            meets = (rows["late"] >= _MEETS) | (sizes[run] < FREQUENT)
+            asks = np.flatnonzero(meets & (sizes[run] > 1))
+            reach = np.cumsum(sizes[run[asks]])
+            at = 0
+            while at < len(asks):
+                end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + (1 << 20), "right")))
+                some = asks[at:end]
+                n = sizes[run[some]]
+                left = np.repeat(some, n)
+                right = np.repeat(starts[run[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                keep = (own[left] != own[right]) & (~meets[right] | (own[left] < own[right]))
+                left, right = left[keep], right[keep]
+                if len(left):
+                    pair = np.stack((np.minimum(own[left], own[right]), np.maximum(own[left], own[right])), 1)
+                    missed = np.minimum(late[left], late[right])
+                    order = np.lexsort((pair[:, 1], pair[:, 0]))
+                    pair, missed = pair[order], missed[order]
+                    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]).any(1))))
+                    times = np.diff(np.append(first, len(pair)))
+                    missed = np.floor(2 ** (np.maximum.reduceat(missed, first) / 1000) - 1 + 1e-6).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[first, 0]), pa.array(pair[first, 1]), pa.array(times.astype(np.int64)), pa.array(missed)], ["a", "b", "shared", "missed"])
+                at = end
+
+    sent = members.mapInArrow(send, BLOBS)
+    met = dealt(sent, _ENTRY, total).mapInArrow(meet, "a long, b long, shared long, missed long")
+    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("missed").alias("missed"))
+
+
+def verify(texts: DataFrame, members: DataFrame, queries: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (grp, id, n) and queries (grp, id, n) of a group.
+
+    Large groups are dealt out: about MEMBERS tokens of members and as many or ASK of the queries meet in a task's
+    run of rows, members first, so that each is sent once unless both are many. The task holds the sets of these
+    members as one sorted index and one query at a time. A query is looked up only if its overlap with the union of
+    the members' sets is enough.
     """
-    least = percent if loose is None else loose
-    asked = queries.groupBy("grp").agg(F.floor(F.count("*") / ASK).alias("parts"))
-    many = materialize(members.groupBy("grp").agg(F.floor(F.count("*") / CHUNK).alias("chunks")).join(asked, "grp"), "chunks")
+    own, ask = (x.groupBy("grp").agg(F.sum("n").alias(c)) for x, c in ((members, "own"), (queries, "ask")))
+    many = own.join(ask, "grp").selectExpr("grp", f"own DIV {MEMBERS} chunks", f"ask DIV greatest({ASK}, least(own, {MEMBERS})) parts")
+    many = materialize(many, "chunks")
     own = members.join(many, "grp").selectExpr("grp", "pmod(xxhash64(id), chunks + 1) * (parts + 1) c", "explode(sequence(0L, parts)) p", "id")
     ask = queries.join(many, "grp").selectExpr("grp", "pmod(xxhash64(id), parts + 1) p", "parts", "explode(sequence(0L, chunks)) c", "id")
     tasks = own.selectExpr("grp", "c + p chunk", "0 kind", "id").unionByName(ask.selectExpr("grp", "c * (parts + 1) + p chunk", "1 kind", "id"))
@@ -232,16 +259,15 @@ def verify(texts: DataFrame, members: DataFrame, queries: DataFrame, words: int,
                     continue
                 if index is None:
                     index = _Index(held)
-                ids, both, sizes = index.overlaps(s, least)
-                union = sizes + len(s) - both
-                hit = (100 * both >= least * union) & (ids != own)
+                ids, both, sizes = index.overlaps(s, percent)
+                hit = (100 * both >= percent * (sizes + len(s) - both)) & (ids != own)
                 if hit.any():
                     other = ids[hit]
-                    found.append((np.minimum(other, own), np.maximum(other, own), (100 * both >= percent * union)[hit]))
+                    found.append((np.minimum(other, own), np.maximum(other, own)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "close"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return rows.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "kind", "id").mapInArrow(run, "a long, b long, close boolean")
+    return rows.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "kind", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 class _Index:
@@ -276,44 +302,49 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
     Words are lower-cased in A-Z; a document's set are its distinct shingles of `words` words, a shorter text is
     one shingle. Two documents link when 100 * intersection >= percent * union. component_id is the smallest id
     that links reach. Documents without words (null, empty or blank texts) link with nothing. Ids are integers;
-    rows without an id get component null and link with nothing; repeated rows each get a row. No rows give no
-    rows; other columns are ignored.
+    rows without an id get component null and link with nothing. Repeated rows each get a row; rows that share an id
+    link as one document, by any of their texts. No rows give no rows; other columns are ignored, whatever their
+    names. A long text is held whole in one task, with its shingles.
     """
     spark = prepare(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
-    profile = materialize(profiles(texts, words), "profiles")
-    classes = profile.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2")))
+    total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # tokens, about
+    profile, hits = profiles(texts, words, total)
+    classes = profile.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2")))
     classes = materialize(classes, "classes")
 
     # 2. stars around the first class of each min-hash
-    keyed = classes.select("rep", F.posexplode(F.array("k0", "k1", "k2")).alias("i", "k"))
-    pivots = keyed.groupBy("i", "k").agg(F.min("rep").alias("grp"), F.count("*").alias("m")).where("m > 1")
-    star = materialize(keyed.join(pivots, ["i", "k"]).where("rep <> grp").selectExpr("grp", "rep id").distinct(), "stars")
-    near = materialize(verify(texts, star.selectExpr("grp", "grp id").distinct(), star, words, percent, LOOSE), "links")
-    firm = materialize(components(near.where("close")).selectExpr("node rep", "component firm"), "firm")
-    side = near.where("NOT close").join(firm.selectExpr("rep b"), "b", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
-    side = side.join(firm.selectExpr("rep a", "firm"), "a", "left").selectExpr("b rep", "coalesce(firm, a) host")
-    placed = classes.select("rep", "n").join(firm, "rep", "left").join(side, "rep", "left").selectExpr("rep", "n", "coalesce(host, firm, rep) grp", "host IS NOT NULL loose")
-    placed = materialize(placed, "placed")
-
-    # 3. the matrix, and pairs of groups that share prefix tokens
-    total = int(profile.agg(F.sum("n")).first()[0] or 0)
-    frequent = frequent_tokens(texts, words, total, FREQUENT)
-    prefixed = texts.join(placed.selectExpr("rep id", "grp"), "id")
-    pairs = shared_prefixes(prefixed, frequent, words, percent, buckets_for(total // 4), buckets_for(total))
+    keyed_ = classes.select("rep", "n", F.posexplode(F.array("k0", "k1", "k2")).alias("i", "k"))
+    pivots = keyed_.groupBy("i", "k").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("m")).where("m > 1").selectExpr("i", "k", "first.rep grp", "first.n own")
+    star = materialize(keyed_.join(pivots, ["i", "k"]).where(f"rep <> grp AND 100 * least(n, own) >= {percent} * greatest(n, own)").selectExpr("grp", "own", "rep id", "n").distinct(), "stars")
+    near = materialize(verify(texts, star.selectExpr("grp", "grp id", "own n").distinct(), star.select("grp", "id", "n"), words, percent), "links")
+    # an id with several texts is one document
+    twice = profile.where("n > 0").groupBy("id").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where("low <> high").select("id")
+    twice = profile.where("n > 0").join(twice, "id").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).selectExpr("id a", "rep b")
+    firm = materialize(components(near.unionByName(twice)).selectExpr("node rep", "component firm"), "firm")
+    placed = materialize(classes.select("rep", "n", "copies").join(firm, "rep", "left").selectExpr("rep", "n", "copies", "coalesce(firm, rep) grp"), "placed")
+    sizes = materialize(placed.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("copies").alias("rows")), "group-sizes")
+
+    # 3. the matrix: documents that are groups of their own stay where they are, others meet their groups' names
+    several = sizes.where("rows > 1").select("grp").join(placed, "grp").select("rep", "grp")
+    named = profile.where("n > 0").select("id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).join(several, "rep")
+    named = materialize(named.groupBy("id").agg(F.min("grp").alias("grp"), F.max(F.expr("id = rep")).alias("stands")), "named")
+    known = id_bitmap(named, "id")
+    alone = by_bitmap(texts, "id", known, False).select(F.col("id").alias("grp"), "text")
+    grouped = by_bitmap(texts, "id", known, True).join(named, "id", "left").where("coalesce(stands, true)").select(F.coalesce("grp", "id").alias("grp"), "text")
+    pairs = shared_prefixes(alone.unionByName(grouped), frequent_tokens(hits), words, percent, total // 3)
 
     # 4. open pairs whose bound allows a link
-    sizes = materialize(placed.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high")), "group-sizes")
     of = lambda x: sizes.selectExpr(f"grp {x}", f"m m_{x}", f"low low_{x}", f"high high_{x}")
     p = str(percent)
-    # tokens beyond both prefixes: at most floor(p high / 100) of either; overlap needed: ceil(p (low + low) / (100 + p))
+    # tokens beyond both prefixes: at most ceil(p high / 100) - 1 of either; overlap needed: ceil(p (low + low) / (100 + p))
     fits = f"100 * high_a >= {p} * low_b AND 100 * high_b >= {p} * low_a"
-    bound = f"(m_a > 1 OR m_b > 1 OR shared + greatest(({p} * high_a + 99) DIV 100 - 1, ({p} * high_b + 99) DIV 100 - 1) >= ({p} * (low_a + low_b) + 99 + {p}) DIV (100 + {p}))"
-    opened = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(f"{fits} AND {bound}").selectExpr("if((m_a, a) < (m_b, b), a, b) q", "if((m_a, a) < (m_b, b), b, a) grp"), "opened")
-    asking = opened.select("q", "grp").join(placed.selectExpr("grp q", "rep id"), "q").select("grp", "id").unionByName(placed.where("loose").selectExpr("grp", "rep id"))
-    asking = materialize(asking, "queries")
-    inside = placed.join(asking.select("grp").distinct(), "grp").selectExpr("grp", "rep id")
-    far = verify(texts, inside, asking, words, percent).select("a", "b")
+    bound = f"shared + missed + greatest(({p} * high_a + 99) DIV 100 - 1, ({p} * high_b + 99) DIV 100 - 1) >= ({p} * (low_a + low_b) + 99 + {p}) DIV (100 + {p})"
+    opened = pairs.join(of("a"), "a").join(of("b"), "b").where(f"{fits} AND {bound}").selectExpr("if((m_a, a) < (m_b, b), a, b) q", "if((m_a, a) < (m_b, b), b, a) grp")
+    opened = materialize(opened, "opened")
+    asking = materialize(opened.join(placed.selectExpr("grp q", "rep id", "n"), "q").select("grp", "id", "n"), "queries")
+    inside = placed.join(asking.select("grp").distinct(), "grp").selectExpr("grp", "rep id", "n")
+    far = verify(texts, inside, asking, words, percent)
 
     # 5. close
     joined = materialize(firm.selectExpr("rep a", "firm b").unionByName(far), "links")
@@ -329,5 +360,6 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is its group's smallest; rows that link with nothing, or have no id, stay."""
     found = similar_groups(docs, words, percent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

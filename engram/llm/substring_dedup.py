@@ -137,8 +137,8 @@ def repeated_nodes(units: DataFrame, window: int, total: int) -> DataFrame:
     """(own, rows): for the texts that hold repeated nodes, their places there (times 4) and open sides."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in each_bucket(batches, _PLACE):
-            if isinstance(rows, pa.RecordBatch):
+        for bucket, rows in each_bucket(batches, _PLACE):
+            if bucket is None:
                 yield rows
                 continue
             starts = run_starts(rows["key"])
@@ -232,8 +232,8 @@ def late_windows(sent: DataFrame, total: int) -> DataFrame:
     """BLOBS with owners only: the starts of windows that are not the first, and the paths."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in each_bucket(batches, _WINDOW):
-            if isinstance(rows, pa.RecordBatch):
+        for bucket, rows in each_bucket(batches, _WINDOW):
+            if bucket is None:
                 yield rows
                 continue
             rows, first = _first_of_each(rows)

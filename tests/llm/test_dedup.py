@@ -33,10 +33,10 @@ def brute_groups(texts, percent=75, k=5):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("setting", [{}, {"CHUNK": 4, "ASK": 3, "FREQUENT": 3, "FLUSH": 500}])
+@pytest.mark.parametrize("setting", [{}, {"MEMBERS": 300, "ASK": 200, "FREQUENT": 3, "FLUSH": 500}, {"FREQUENT": 2, "HOT_LEVELS": 1, "SALTS": 3, "bits_for": lambda total: 22}])
 def test_jaccard_equals_brute_force(docs, by_id, setting, monkeypatch):
     for name, value in setting.items():
-        monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(common if name == "bits_for" else jaccard, name, value)
     got = jaccard.similar_groups(docs).collect()
     want = brute_groups(by_id)
     assert len(got) == len(by_id) + 2
@@ -58,6 +58,32 @@ def test_jaccard_near_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect()} == brute_groups(texts)
 
 
+def family(core, own, n, seed):
+    """n texts of the same core words, each with further words of its own."""
+    rng = random.Random(seed)
+    shared = [f"c{rng.randrange(10**6)}" for _ in range(core)]
+    return [" ".join(shared + [f"o{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("core", "own"), [(80, 20), (80, 15), (80, 13), (80, 11)])
+def test_families_around_the_threshold(spark, core, own, monkeypatch):
+    sent = []
+    real = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda texts, members, queries, *rest: sent.append(queries.count()) or real(texts, members, queries, *rest))
+    texts = dict(enumerate(family(core, own, 120, 4)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect()} == brute_groups(texts)
+    assert sum(sent) <= 4 * len(texts)  # no pairs of all
+
+
+def test_jaccard_of_rows_that_share_an_id(spark):
+    w = [f"t{i}" for i in range(60)]
+    a, b, c = " ".join(w[:20]), " ".join(w[20:40]), " ".join(w[40:])
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, c + " one"), (11, c), (12, "alone here"), (12, "")]
+    got = sorted(tuple(r) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 16, 1), (5, 16, 1), (5, 16, 1), (9, 16, 1), (9, 17, 1), (11, 16, 1), (12, 0, 12), (12, 1, 12)]
+
+
 def test_jaccard_without_ids_or_rows(without_ids, none, docs, by_id):
     got = [tuple(r) for r in jaccard.similar_groups(without_ids).collect()]
     assert len(got) == 4 and got.count((None, 0, None)) == 2
@@ -134,10 +160,10 @@ def brute_spans(texts, window=20):
     return out
 
 
-@pytest.mark.parametrize("setting", [{}, {"FLUSH": 300, "HOT": 64}, {"FLUSH": 300, "HELD": 1, "STEP": 4}, {"FLUSH": 2000, "HOT": 5}])
+@pytest.mark.parametrize("setting", [{}, {"FLUSH": 300, "HOT": 64}, {"FLUSH": 300, "bits_for": lambda total: 22}, {"FLUSH": 2000, "HOT": 5}])
 def test_spans_equal_brute_force(docs, by_id, setting, monkeypatch):
     for name, value in setting.items():
-        monkeypatch.setattr(common if name in ("HELD", "STEP") else substring_dedup, name, value)
+        monkeypatch.setattr(common if name == "bits_for" else substring_dedup, name, value)
     once = docs.dropDuplicates(["doc_id"])
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(once).collect()}
     assert got == brute_spans(by_id)
