@@ -57,7 +57,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.chat_turns(chat_format.as_transcripts(_table(spark, sf_dir, "conversations")))
+    """A third of the turns go without a marker. Roles are counted in two thirds of the conversations; the rest of the
+    parameters is learned from the transcripts."""
+    turns = _table(spark, sf_dir, "conversations")
+    raw = chat_format.as_transcripts(turns)
+    return chat_format.chat_turns(raw, chat_format.learn(raw, chat_format.fit(turns.where(toxicity.fold("conv_id") != 1))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

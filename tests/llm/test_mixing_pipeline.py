@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from engram.llm import chat_format, mixing
+from engram.llm import mixing
 from engram.llm.common import materialize
 from engram.llm.oracle import ORACLES
 from engram.llm.queries import QUERIES
@@ -77,38 +77,6 @@ def test_mixed_documents_repeat_rows(docs):
     assert got == {i: c for i, c in copies.items() if c}
 
 
-def test_chat_round_trip(spark):
-    roles = ["system", "user", "assistant"]
-    rows = [(c, t, roles[0] if t == 0 and c % 2 else roles[1 + (t + c) % 2], [f"hello {t}?", "", "two\nlines", "\nlead and end\n", None][(c + t) % 5]) for c in range(40) for t in range(6)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat_format.chat_turns(chat_format.as_transcripts(turns)).toPandas().sort_values(["conv_id", "turn", "part"])
-    assert [(r.conv_id, r.turn, r.role, r.text) for r in got.itertuples()] == [(c, t, r, x or "") for c, t, r, x in rows]
-    assert got.rendered.iloc[0] == chat_format.render(got.role.iloc[0], got.text.iloc[0])
-
-
-def test_chat_roles_are_recovered_without_markers(spark):
-    text = "User: hi there?\nAssistant: hello\nmore of it\nUser: and now?"
-    rows = [(1, 0, text), (2, 0, "Human: a question?"), (2, 1, "an answer without a marker"), (2, 2, "Human: thanks")]
-    got = chat_format.chat_turns(spark.createDataFrame(rows, "conv_id long, turn long, text string")).orderBy("conv_id", "turn", "part").collect()
-    assert [(r.conv_id, r.part, r.role) for r in got] == [(1, 0, "user"), (1, 1, "assistant"), (1, 2, "user"), (2, 0, "user"), (2, 0, "assistant"), (2, 0, "user")]
-    assert got[1].text == "hello\nmore of it"
-
-
-def test_long_conversation_in_blocks(spark, monkeypatch):
-    rows = [(7, t, ("User: " if t % 4 == 0 else "Bot: " if t % 4 == 2 else "") + f"line {t}" + ("?" if t % 3 else "")) for t in range(100)]
-    df = spark.createDataFrame([*rows, (8, 0, "User: x"), (None, None, None)], "conv_id long, turn long, text string")
-    whole = sorted(map(str, chat_format.chat_turns(df).collect()))
-    monkeypatch.setattr(chat_format, "BLOCK", 9)
-    assert sorted(map(str, chat_format.chat_turns(df).collect())) == whole
-    assert chat_format.chat_turns(df.where("false")).count() == 0
-
-
-def test_line_classes_are_counted(spark):
-    turns = spark.createDataFrame([("user", "why?\nwhy?"), ("assistant", "- a\n- b"), ("other", "x"), (None, None)], "role string, text string")
-    p = chat_format.fit_classes(turns)
-    assert all(sum(c) == pytest.approx(1) for c in p.classes) and p.classes[1][1] > chat_format.Parameters().classes[1][1]
-
-
 def test_pipeline_stages(spark, docs, by_id, labels, tmp_path):
     """Each stage against a brute-force version on what the stage before it kept."""
     sf_dir = str(tmp_path)
