@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -135,15 +136,26 @@ def distinct_sorted(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-def shingles(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles, A-Z in lower case; a shorter text is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, U64)
-    h = word_hashes(words)
-    if len(words) < k:
-        return window_hashes(h, len(words)) ^ U64(0xA5A5A5A5 + len(words))
-    return distinct_sorted(window_hashes(h, k))
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Of each text, the sorted distinct hashes of its k-word shingles, A-Z in lower case; a shorter text is one.
+
+    The texts of a batch are hashed in one go; windows over the end of a text are left out.
+    """
+    words = [t.lower().split() for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    total = int(ends[-1]) if words else 0
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), U64, total)
+    windows = window_hashes(h, k)
+    out = []
+    for w, end in zip(words, ends.tolist(), strict=True):
+        n, start = len(w), end - len(w)
+        if n >= k:
+            out.append(distinct_sorted(windows[start : end - k + 1]))
+        elif n:
+            out.append(window_hashes(h[start:end], n) ^ U64(0xA5A5A5A5 + n))
+        else:
+            out.append(np.empty(0, U64))
+    return out
 
 
 # --- bitmaps of fixed size ----------------------------------------------------------------------
@@ -214,9 +226,9 @@ def bits_for(total: int) -> int:
     return STEP if total <= HELD << STEP else 2 * STEP
 
 
-def partitions_for(total: int) -> int:
-    """Partitions that buckets are dealt out to: some thousands at most, each reads its buckets one by one."""
-    return min(8192, max(16, total >> 18))
+def partitions_for(size: int) -> int:
+    """Partitions for so many bytes of blobs: some thousands at most, each reads its buckets one by one."""
+    return min(8192, max(16, size >> 23))
 
 
 def blob_batch(bucket: np.ndarray, own: np.ndarray | None, starts: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -246,7 +258,7 @@ def dealt(sent: DataFrame, kind: np.dtype, total: int) -> DataFrame:
     them out again: its tasks gather many small blobs into sorted runs first, so that blobs stay large. Rows with
     an owner pass through.
     """
-    parts = partitions_for(total)
+    parts = partitions_for(total * kind.itemsize)
     near = sent.repartition(parts, "bucket")
     bits = bits_for(total)
     if bits > STEP:

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import BLOBS, U64, binary, bitmap, blob_batch, by_bitmap, components, dealt, each_bucket, fresh, id_bitmap, in_bitmap, keyed, materialize, mix, only_ids, prepare, run_starts, shingles
+from .common import BLOBS, U64, binary, bitmap, blob_batch, by_bitmap, components, dealt, each_bucket, fresh, id_bitmap, in_bitmap, keyed, materialize, mix, only_ids, prepare, run_starts, shingle_sets
 
 #: Tokens of the members of a group that are compared in one go, and least tokens of the queries that meet them.
 MEMBERS = 1 << 20
-ASK = 1 << 18
+ASK = 1 << 15
 #: Tokens of at least so many documents come last in the global order: so many or a power of four times as many, the
 #: least with which the bitmap of such tokens is a quarter full at most.
 FREQUENT = 24
@@ -47,6 +47,7 @@ TIMES = 32
 FLUSH = 500_000
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _COUNTED = np.dtype([("key", "<u4")])  # the 32 bits of a token after those of its bucket
+#: late is on a scale of 15 bits, 1000 log2(x + 1), rounded up.
 _ENTRY = np.dtype([("key", "<u8"), ("grp", "<i8"), ("late", "<u2")])
 #: Bit of an entry whose group meets all others at this token.
 _MEETS = np.uint16(1 << 15)
@@ -85,8 +86,7 @@ def profiles(texts: DataFrame, words: int, total: int) -> tuple[DataFrame, DataF
         for b in batches:
             ids = b.column(0).to_numpy()
             rows = np.zeros(len(ids), _PROFILE)
-            for i, text in enumerate(binary(b, "text")):
-                s = shingles(text, words)
+            for i, s in enumerate(shingle_sets(binary(b, "text"), words)):
                 if len(s):
                     d = xxhash.xxh3_128_intdigest(s.tobytes())
                     rows[i] = (len(s), *np.array([d >> 64, d & (2**64 - 1)], U64).view(np.int64), np.array([(s * U64(m)).min() for m in _SPREAD], U64).view(np.int64))
@@ -134,11 +134,6 @@ def frequent_tokens(hits: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return bitmap(hits.where(F.col("level") >= level), "p", FREQUENT_BITS), bitmap(hits.where(F.col("level") >= level + HOT_LEVELS), "p", FREQUENT_BITS)
 
 
-def _up(x: int) -> int:
-    """x on a scale of 15 bits, rounded up."""
-    return int(np.ceil(np.log2(x + 1) * 1000))
-
-
 def shared_prefixes(members: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int, total: int) -> DataFrame:
     """(a, b, shared, missed): pairs of groups, a < b, that meet at a token.
 
@@ -158,34 +153,41 @@ def shared_prefixes(members: DataFrame, frequent: tuple[np.ndarray, np.ndarray],
         rows["late"] = late
         return rows
 
+    def prefixes(sets: list[np.ndarray], group: np.ndarray) -> np.ndarray:
+        """The entries of a batch of documents."""
+        size = np.array([len(s) for s in sets], np.int64)
+        if not size.sum():
+            return np.zeros(0, _ENTRY)
+        tokens = np.concatenate(sets)
+        place = _places(tokens)
+        often, hot = in_bitmap(known.value[0], place), in_bitmap(known.value[1], place)
+        doc = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(doc * 4 + often + hot, kind="stable")
+        at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+        keep = at < (size + (-percent * size) // 100 + 1)[doc]
+        index = (at < (size + (-2 * percent * size) // (100 + percent) + 1)[doc])[keep]
+        order, doc = order[keep], doc[keep]
+        tokens, often, hot = tokens[order], often[order], hot[order]
+        late = np.bincount(doc, often & ~index, minlength=len(sets))
+        rows = np.zeros(len(doc), _ENTRY)
+        rows["key"], rows["grp"], rows["late"] = tokens, group[doc], np.ceil(np.log2(late + 1) * 1000)[doc]
+        rows["late"][index | ~often] |= _MEETS
+        if hot.any():  # index tokens go to all salts, others to one
+            salted, spread = rows[hot], np.repeat(rows[hot & index], SALTS)
+            salted["key"] = mix(salted["key"] + mix(salted["grp"].astype(np.int64).view(U64)) % U64(SALTS) + U64(1))
+            spread["key"] = mix(spread["key"] + np.tile(np.arange(1, SALTS + 1, dtype=U64), (hot & index).sum()))
+            rows = np.concatenate((rows[~hot], salted, spread))
+        return rows
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            for text, group in zip(binary(b, "text"), b.column(b.schema.get_field_index("grp")).to_pylist(), strict=True):
-                s = shingles(text, words)
-                size = len(s)
-                if not size:
-                    continue
-                place = _places(s)
-                often, hot = in_bitmap(known.value[0], place), in_bitmap(known.value[1], place)
-                order = np.argsort(often.astype(np.int8) + hot, kind="stable")[: size + (-percent * size) // 100 + 1]
-                s, often, hot = s[order], often[order], hot[order]
-                index = np.arange(len(s)) < size + (-2 * percent * size) // (100 + percent) + 1
-                rows = np.zeros(len(s), _ENTRY)
-                rows["key"], rows["grp"], rows["late"] = s, group, _up(int((often & ~index).sum()))
-                rows["late"][index | ~often] |= _MEETS
-                if hot.any():  # index tokens go to all salts, others to one
-                    salted = rows[hot]
-                    own = mix(np.array([group], np.int64).view(U64))[0] % U64(SALTS)
-                    spread = np.repeat(rows[hot & index], SALTS)
-                    salted["key"] = mix(salted["key"] + own + U64(1))
-                    spread["key"] = mix(spread["key"] + np.tile(np.arange(1, SALTS + 1, dtype=U64), (hot & index).sum()))
-                    rows = np.concatenate((rows[~hot], salted, spread))
-                held.append(rows)
-                n += len(rows)
-                if n >= FLUSH:
-                    yield keyed(union(np.concatenate(held)), common.STEP)
-                    held, n = [], 0
+            rows = prefixes(shingle_sets(binary(b, "text"), words), b.column(b.schema.get_field_index("grp")).to_numpy())
+            held.append(rows)
+            n += len(rows)
+            if n >= FLUSH:
+                yield keyed(union(np.concatenate(held)), common.STEP)
+                held, n = [], 0
         if n:
             yield keyed(union(np.concatenate(held)), common.STEP)
 
@@ -248,10 +250,9 @@ def verify(texts: DataFrame, members: DataFrame, queries: DataFrame, words: int,
         for b in batches:
             found: list[tuple[np.ndarray, ...]] = []
             cols = [b.column(k).to_pylist() for k in range(4)]
-            for group, chunk, kind, own, text in zip(*cols, binary(b, "text"), strict=True):
+            for group, chunk, kind, own, s in zip(*cols, shingle_sets(binary(b, "text"), words), strict=True):
                 if (group, chunk) != last:
                     last, held, index = (group, chunk), [], None
-                s = shingles(text, words)
                 if kind == 0:
                     held.append((own, s))
                     continue

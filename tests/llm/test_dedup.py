@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import common, exact_dedup, jaccard, line_dedup, substring_dedup
 
@@ -108,6 +109,27 @@ def test_exact_equals_brute_force(docs, by_id, none, without_ids):
     assert exact_dedup.drop_exact_copies(docs).columns == docs.columns
 
 
+def test_chunks_whose_digests_clash_are_told_apart(spark):
+    rng = random.Random(8)
+    some = lambda: " ".join("".join(rng.choice("abcdgkm") for _ in range(6)) + "d." for _ in range(120))
+    a, b, c = some(), some(), some()
+    rows = list(enumerate([a, b, c, a + b, b + a, a + b, " " + c, a + b + c, "", None, "x"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = ["".join(words(t)) for _, t in rows]
+    want = [(i, min(j for j, y in enumerate(plain) if y == x and len(rows[j][1] or "") == max(len(rows[k][1] or "") for k, z in enumerate(plain) if z == x)), plain.count(x)) for i, x in enumerate(plain)]
+    for weak in ({}, {"digest": lambda x: F.lit(b"0")}, {"digest": lambda x: F.lit(b"0"), "proof": lambda x: F.pmod(F.xxhash64(x), F.lit(2))}):
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df, **weak).collect()) == want
+
+
+@pytest.mark.parametrize("letters", ["abcdefghiklmnorstuz", "абвгдежзик", "的一是不了人我在有他", "0123456789abcdef(){}="])
+def test_cuts_follow_content_in_any_script(spark, letters):
+    rng = random.Random(9)
+    text = "".join("".join(rng.choice(letters) for _ in range(rng.randint(5, 30))) + rng.choice([",", ".", "; "]) for _ in range(900))
+    df = spark.createDataFrame([(1, text), (2, "x" + text), (3, text[3333:])], "doc_id long, text string")
+    a, b, c = ({bytes(x.digest) for x in r.chunks} for r in exact_dedup.chunked(df).orderBy("doc_id").collect())
+    assert len(a) > 10 and len(a & b) >= len(a) - 3 and len(a - c) < len(a) // 3  # a part is gone, the other cuts are the same
+
+
 def test_chunks_join_to_the_text(spark):
     rng = random.Random(3)
     some = lambda: "".join(rng.choice("abcdefghiklmnorstuz") for _ in range(rng.randint(2, 9)))
