@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import every, materialize
 
 
 def _hash(text: Column, seed: int) -> Column:
@@ -60,14 +60,15 @@ def mix_sources(
     size, then along the salts of a class, one row for each salt, and ranks are counted inside a cell of source,
     class and salt. Salts grow with the number of rows.
 
-    Null text: size 0; null source: a source of its own; documents of size 0 are ranked as others are, but take no
-    words. Repeated rows count one by one. No rows give no rows. carry adds a column row, a struct of all columns
+    A document is taken at most its expected copies, rounded up. Null text: size 0; null source: a source of its own; documents of size 0 are ranked as others are, but take no
+    words. Repeated rows count one by one. No rows give no rows; a
+    long text is only counted. carry adds a column row, a struct of all columns
     of docs, whatever their names.
     """
     if salts is None:
         salts = max(64, docs.count() // 50_000)
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # never null: a plain equi-join
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), n_words(F.col(text_col)).alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), n_words(F.col(text_col)).alias("size"), *([F.struct(*every(docs)).alias("row")] if carry else []))
     rows = rows.withColumn("salt", _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) % salts)
     falls = F.col("salt") % 2 == 1
     grade = F.length(F.bin("size")) * 16 + F.conv(F.substring(F.bin("size"), 1, 4), 2, 10).cast("int")
@@ -89,6 +90,7 @@ def mix_sources(
     ranked = rows.withColumn("place", place).join(cells, ["key", "class", "salt"])
     rank = F.col("base") + F.col("place")
     copies = (F.floor(F.col("offset") + rank * F.col("rate")) - F.floor(F.col("offset") + (rank - 1) * F.col("rate"))).cast("long")
+    copies = F.least(copies, F.ceil("rate").cast("long"))  # sums of doubles could cross one integer more
     out = ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *(["row"] if carry else []))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
