@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import os
 import re
 import zlib
@@ -74,12 +75,10 @@ class Coder:
             return b"".join(map(self.ids.__getitem__, words))
         except KeyError:
             new = [w for w in set(words) if w not in self.ids]
-            own = self.ids if len(self.ids) + len(new) <= _CACHED else dict(self.ids) if len(new) < 1000 else {}
-            if own is not self.ids:  # the cache is full: begin it anew with this text's words
-                self.ids = own = {}
-                new = list(set(words))
-            self.learn(new, own)
-            return b"".join(map(own.__getitem__, words))
+            if len(self.ids) + len(new) > _CACHED:  # the cache is full: begin it anew with this text's words
+                self.ids, new = {}, list(set(words))
+            self.learn(new, self.ids)
+            return b"".join(map(self.ids.__getitem__, words))
 
 
 def coder(path: str) -> Coder:
@@ -178,17 +177,17 @@ def shortest_pack_first(histogram: dict[int, int], max_len: int) -> tuple[dict[i
     return runs, packs
 
 
-def pack(pieces: DataFrame, max_len: int = 4096, rows_per_task: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, start, length, ...), each at most max_len long.
 
     The histogram has at most max_len rows, so that the driver plans patterns whatever the corpus. A piece's
-    rank among those of its length comes from two levels, salts of a length and places in a salt, so that a
-    frequent length spreads over tasks. Empty input gives no rows; repeated rows are packed one by one.
+    rank among those of its length comes from two levels, salts of a length and places in a salt, about as many of
+    each (the root of their number), so that a frequent length spreads over tasks. Empty input gives no rows; repeated rows are packed one by one.
     """
     spark = pieces.sparkSession
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     runs, _ = shortest_pack_first(histogram, max_len)
-    salts = {n: -(-c // rows_per_task) if c > rows_per_task else max(1, min(64, c // 64)) for n, c in histogram.items()}
+    salts = {n: math.isqrt(c - 1) + 1 for n, c in histogram.items()}
     lengths = spark.createDataFrame([(n, s) for n, s in salts.items()], "length long, salts int")  # at most max_len rows
     salted = pieces.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int")).drop("salts")
     bases = salted.groupBy("length", "salt").count()
@@ -217,7 +216,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id:
     """Pack all documents into sequences of max_len ids: one row for each piece.
 
     Columns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null or empty texts are the end
-    id alone. Repeated rows are packed once each; no rows give no rows; other columns are ignored.
+    id alone. Repeated rows are packed once each; no rows give no rows; other columns, whatever their names, are
+    ignored. A long text is tokenized whole by one task and cut into pieces.
     """
     pieces = materialize(cut(docs, tokenizer, max_len, end_id, id_col, text_col), "pieces")
     return pack(pieces, max_len)

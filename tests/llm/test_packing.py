@@ -36,7 +36,7 @@ def test_no_rows(none):
 
 def test_hot_length_spreads_and_ranks_are_whole(spark):
     pieces = spark.range(3000).selectExpr("id doc_id", "0L start", "IF(id % 3 = 0, 100L, 40L) length")
-    got = packing.pack(pieces, 256, rows_per_task=100).toPandas()
+    got = packing.pack(pieces, 256).toPandas()
     packs = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
     assert len(got) == 3000 and packs.length.sum().max() <= 256
     assert (packs.offset.max() < 256).all() and got.groupby(["sequence_id", "offset"]).size().max() == 1
