@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts may be long, so that batches stay small in bytes.
@@ -202,6 +202,27 @@ def only_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> Data
     return by_bitmap(df, column, id_bitmap(ids, id_column), True)
 
 
+def possible(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """df's rows and a column `possible`: whether a hash may be among those of ids; native, for two long columns.
+
+    The broadcast is a bitmap as a table, of at most 2 ** (ID_BITS - 6) rows whatever the corpus.
+    """
+    at = lambda c: F.pmod(F.col(c), F.lit(1 << ID_BITS))
+    words = ids.select(F.shiftright(at(id_column), 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod({id_column}, 64) AS INT))").alias("b"))
+    known = materialize(words.groupBy("w").agg(F.bit_or("b").alias("b")), "bitmap")
+    found = df.join(F.broadcast(known), F.shiftright(at(column), 6) == F.col("w"), "left")
+    return found.withColumn("possible", F.expr(f"coalesce(shiftrightunsigned(b, CAST(pmod({column}, 64) AS INT)) & 1L = 1L, false)")).drop("w", "b")
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
