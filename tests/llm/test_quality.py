@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import quality_classifier, quality_rules, toxicity
 
@@ -64,6 +65,71 @@ def test_site_posteriors_equal_formula(spark):
         assert got[h, q] == pytest.approx((g, post[h], (x.sum() + k * post[h]) / (len(x) + k)), rel=1e-6)
 
 
+def brute_posteriors(rows):
+    """{(host, path): (global mean, host's, path's)} of (host, path, p), one site after the other."""
+    p = np.array([r[2] for r in rows])
+    g, within = p.mean(), max(p.var(), 1e-9)
+
+    def shrunk(groups, centre):
+        v = max(sum(len(x) * (np.mean(x) - centre[k]) ** 2 for k, x in groups.items()) / len(p) - len(groups) * within / len(p), 1e-6)
+        k0 = min(1e4, max(1.0, g * (1 - g) / max(v, 1e-9) - 1))
+        return {k: (np.sum(x) + k0 * centre[k]) / (len(x) + k0) for k, x in groups.items()}
+
+    hosts, paths = {}, {}
+    for h, q, x in rows:
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, q), []).append(x)
+    of_host = shrunk(hosts, dict.fromkeys(hosts, g))
+    of_path = shrunk(paths, {k: of_host[k[0]] for k in paths})
+    return {k: (g, of_host[k[0]], x) for k, x in of_path.items()}
+
+
+def test_classifier_equals_brute_force(docs, labels):
+    """Scores from the features of each text, one by one, a fit by gradient steps, and posteriors site by site."""
+    rows = docs.select("doc_id", "text", "source", "lang").collect()
+    own = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality in (0, 1):
+            own[r.doc_id] = min(own.get(r.doc_id, 1), r.quality)
+    x = {i: np.array(quality_classifier.features((r.text or "").encode())) for i, r in enumerate(rows)}
+    train = [i for i, r in enumerate(rows) if r.doc_id in own]
+    data, y = np.array([x[i] for i in train]), np.array([own[rows[i].doc_id] for i in train])
+    mean, spread = data.mean(0), data.std(0) + 1e-6
+    z = lambda v: np.append(np.clip((v - mean) / spread, -10, 10), 1.0)
+    zs, w, ridge = np.array([z(v) for v in data]), np.zeros(len(mean) + 1), np.append(np.ones(len(mean)), 1e-3)
+    for _ in range(200):  # penalised likelihood, by Newton's method without the operator's step limits
+        q = 1 / (1 + np.exp(-zs @ w))
+        w += 0.5 * np.linalg.solve((zs * (q * (1 - q))[:, None]).T @ zs + np.diag(ridge), zs.T @ (y - q) - ridge * w)
+    logit = {i: float(np.clip(z(v) @ w, -12, 12)) for i, v in x.items()}
+    p = {i: 1 / (1 + math.exp(-v)) for i, v in logit.items()}
+    post = brute_posteriors([(r.source or "", r.lang or "", p[i]) for i, r in enumerate(rows)])
+    odds = lambda v: math.log(min(1 - 1e-6, max(1e-6, v)) / (1 - min(1 - 1e-6, max(1e-6, v))))
+    want = []
+    for i, r in enumerate(rows):
+        g, host, path = post[r.source or "", r.lang or ""]
+        score = 1 / (1 + math.exp(-(logit[i] + odds(path) - odds(g))))
+        want.append((r.doc_id, p[i], host, path, score))
+    got = sorted((r.doc_id, r.evidence, r.host_posterior, r.path_posterior, r.score, r.kept) for r in quality_classifier.classify(docs, labels).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:5] == pytest.approx(b, abs=2e-4) and a[5] == (a[4] >= 0.5)
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://www.Example.org/news/2024/a.html?x=1", "http://a.b/c", "http://a.b", "no address", None]
+    host, path = quality_classifier.url_site(F.col("url"))
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(host, path).collect()
+    assert [tuple(r) for r in got] == [("example.org", "news"), ("a.b", ""), ("a.b", ""), ("", ""), ("", "")]
+
+
+def test_classifier_on_pages(spark, sf_dir):
+    """Web pages: hosts and first folders of their addresses are the sites."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id doc_id", "url", "html text")
+    labels = pages.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) quality")
+    host, path = quality_classifier.url_site(F.col("url"))
+    got = quality_classifier.classify(pages, labels, host=host, path=path)
+    assert got.count() == pages.count() and got.where("host_posterior BETWEEN 0 AND 1 AND path_posterior BETWEEN 0 AND 1").count() == pages.count()
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
