@@ -33,6 +33,8 @@ from .common import BLOBS, U64, binary, bitmap, blob_batch, by_bitmap, component
 #: Tokens of the members of a group that are compared in one go, and least tokens of the queries that meet them.
 MEMBERS = 1 << 20
 ASK = 1 << 15
+#: Tokens that a document counts besides its own.
+EACH = 64
 #: Tokens of at least so many documents come last in the global order: so many or a power of four times as many, the
 #: least with which the bitmap of such tokens is a quarter full at most.
 FREQUENT = 24
@@ -236,7 +238,7 @@ def verify(texts: DataFrame, members: DataFrame, queries: DataFrame, words: int,
     members as one sorted index and one query at a time. A query is looked up only if its overlap with the union of
     the members' sets is enough.
     """
-    own, ask = (x.groupBy("grp").agg(F.sum("n").alias(c)) for x, c in ((members, "own"), (queries, "ask")))
+    own, ask = (x.groupBy("grp").agg(F.sum(F.col("n") + EACH).alias(c)) for x, c in ((members, "own"), (queries, "ask")))
     many = own.join(ask, "grp").selectExpr("grp", f"own DIV {MEMBERS} chunks", f"ask DIV greatest({ASK}, least(own, {MEMBERS})) parts")
     many = materialize(many, "chunks")
     own = members.join(many, "grp").selectExpr("grp", "pmod(xxhash64(id), chunks + 1) * (parts + 1) c", "explode(sequence(0L, parts)) p", "id")
