@@ -8,32 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import jaccard, line_dedup, mixing, packing, quality_classifier
-from engram.llm.common import materialize
+from engram.llm.common import every, materialize
 from engram.llm.queries import TOKENIZER
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Null texts count as empty; repeated rows fare alike."""
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first of them only; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Lines that several documents share stay in the first of them only; n_chars follows the text.
+
+    Null texts become empty; a row without an id comes after all others.
+    """
+    found = line_dedup.dedup_lines(docs, counts=False)
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*every(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of similar ones."""
+    """One document, that with the smallest id, of each group of similar ones; rows that repeat its id stay, too."""
     return jaccard.keep_one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, so that rows repeat; a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens; each of the rows that repeat is packed."""
     return packing.pack_documents(docs, TOKENIZER)
 
 
@@ -50,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again.
+
+    Columns beside doc_id, text, lang, source and n_chars are kept to the last stage but one, whatever their names.
+    An empty table gives no rows; the stages say what they do with nulls and repeated rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
