@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, prepare
+from .common import binary, materialize, prepare
 
 _EDGES = "\"'`.,;:!?()[]{}<>*#$%&|~_-=+/\\"
 #: Frequent words by which a text's language is told, to calibrate by. Fixed lists.
@@ -27,9 +28,14 @@ LANGUAGES = (*LANGUAGE_WORDS, "other")
 
 @dataclass
 class Settings:
-    """Bounds and sizes of the model. max_rows bounds the labelled texts that it is fitted on."""
+    """Bounds and sizes of the model. max_rows and max_bytes bound the labelled texts that it is fitted on.
+
+    Texts are taken whole, in the order of a hash of their id, until one goes over max_bytes.
+    """
 
     max_rows: int = 12_000
+    max_bytes: int = 96 << 20
+    least_texts: int = 3  # training texts in which a word has to be to have an embedding
     hash_bits: int = 20
     max_vocabulary: int = 30_000
     dims: int = 8
@@ -117,26 +123,53 @@ for _name, _list in LANGUAGE_WORDS.items():
         _BY_WORD[_w.encode()] = (*_BY_WORD.get(_w.encode(), ()), _name)
 
 
+@dataclass
+class Example:
+    """A labelled text as the model reads it: its hash, its hashed words (2 x n) and its language."""
+
+    key: int
+    label: float
+    told: str
+    places: np.ndarray
+
+
+def encoder(bits: int):
+    """A function from a text to its hash, hashed words and language."""
+    known: dict[bytes, tuple[int, int]] = {}
+
+    def encode(text: bytes) -> tuple[int, np.ndarray, str]:
+        words = text.split()
+        if len(known) > 300_000:
+            known.clear()
+        found = [known[w] if w in known else known.setdefault(w, buckets(w, bits)) for w in words]
+        return xxhash.xxh3_64_intdigest(text), np.array(found, np.int32).reshape(-1, 2).T, language(words)
+
+    return encode
+
+
 def fit(texts: list[bytes], labels: np.ndarray, settings: Settings | None = None) -> Model:
-    """Train on labelled texts. Rows that differ only in order give the same model."""
+    """Train on labelled texts."""
     s = settings or Settings()
-    order = sorted(range(len(texts)), key=lambda i: (xxhash.xxh3_64_intdigest(texts[i]), int(labels[i])))
-    texts, y = [texts[i] for i in order], np.asarray(labels, np.float64)[order]
+    encode = encoder(s.hash_bits)
+    rows = []
+    for text, label in zip(texts, labels, strict=True):
+        key, places, told = encode(text)
+        rows.append(Example(key, float(label), told, places))
+    return train_model(rows, s)
+
+
+def train_model(rows: list[Example], s: Settings) -> Model:
+    """Train on examples. Rows that differ only in order give the same model."""
+    rows = sorted(rows, key=lambda r: (r.key, r.label))
+    y = np.array([r.label for r in rows])
     rng = np.random.default_rng(s.seed)
-    known: dict[bytes, tuple[int, int]] = {}
-    places, told = [], []
-    for text in texts:
-        words = text.split()
-        found = [known[w] if w in known else known.setdefault(w, buckets(w, s.hash_bits)) for w in words]
-        places.append(np.array(found, np.int32).reshape(-1, 2).T)
-        told.append(language(words))
+    places, told, texts = [r.places for r in rows], [r.told for r in rows], rows
     told = np.array(told)
     #: The last quarter is not trained on: cuts are chosen there.
     calibrating = np.arange(len(texts)) >= len(texts) - len(texts) // 4
     train = np.flatnonzero(~calibrating)
 
     # vocabulary: buckets in some texts at least, the strongest evidence first
-    least = 2 + min(len(train) // 1000, 3)
     size = 1 << s.hash_bits
     seen, bad = np.zeros(size), np.zeros(size)
     for i in train:
@@ -146,7 +179,7 @@ def fit(texts: list[bytes], labels: np.ndarray, settings: Settings | None = None
     n1, n0 = max(y[train].sum(), 1), max((1 - y[train]).sum(), 1)
     odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((seen - bad + 0.5) / (n0 + 1))
     z = np.abs(odds) * np.sqrt(np.minimum(bad + 0.5, seen - bad + 0.5)) + np.abs(odds)
-    chosen = np.flatnonzero(seen >= least)
+    chosen = np.flatnonzero(seen >= s.least_texts)
     chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[: s.max_vocabulary]])
     row_of = np.zeros(size, np.int32)
     row_of[chosen] = np.arange(1, len(chosen) + 1)
@@ -233,19 +266,35 @@ def _cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, label): at most max_rows labelled texts, chosen by a hash of their id."""
-    own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    some = own.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(settings.max_rows)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "__id").select("text", "label")  # max_rows rows of two numbers
+    """(text, label): the labelled texts that max_rows and max_bytes allow, chosen by a hash of their id."""
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
+    some = own.groupBy("id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(settings.max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id")  # max_rows rows of three numbers
+    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "labelled")
+    before = W.orderBy("order", "rid").rowsBetween(W.unboundedPreceding, -1)  # over the sample's numbers only
+    sizes = rows.select("order", "rid", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    within = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("before") + F.col("bytes") <= settings.max_bytes)
+    return rows.join(F.broadcast(within.select("rid")), "rid").select("text", "label")  # a part of the sample
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of labelled rows; without labels, a model that scores near 0."""
+    """Fit on a bounded sample of labelled rows; without labels, a model that scores near 0.
+
+    Hashed words come to the driver, no texts: 8 bytes for a word.
+    """
     s = settings or Settings()
     prepare(docs.sparkSession)
-    rows = training_rows(docs, labels, s, id_col, text_col, label_col).toArrow()
-    texts = [(x or "").encode() for x in rows["text"].to_pylist()]
-    return fit(texts, np.array(rows["label"].to_pylist() or [], np.float64), s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(s.hash_bits)
+        for b in batches:
+            rows = [encode(t) for t in binary(b, "text")]
+            keys = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(1), pa.array([r[2] for r in rows], pa.string()), pa.array([np.ascontiguousarray(r[1]).tobytes() for r in rows], pa.binary())], ["key", "label", "told", "places"])
+
+    found = training_rows(docs, labels, s, id_col, text_col, label_col).mapInArrow(run, "key long, label int, told string, places binary").toArrow()
+    rows = [Example(k, float(y), t, np.frombuffer(p, np.int32).reshape(2, -1)) for k, y, t, p in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    return train_model(rows, s)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +325,12 @@ def fold(id_col: str = "doc_id"):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; labels come from rows outside the held-out fold only."""
+    """doc_id, held_out, score, predicted for every document; labels come from rows outside the held-out fold only.
+
+    Null and empty texts are scored as texts without words, repeated rows get a row each, a row without an id is not
+    held out, no rows give no rows, other columns are not read. A document with several labels is toxic if one says
+    so; labels other than 0 and 1 are left out. A long text is read whole by one task.
+    """
     s = settings or Settings()
     model = fit_table(docs, labels.where(fold(id_col) != 1), s, id_col, text_col)
     out = score(docs, model, id_col, text_col)

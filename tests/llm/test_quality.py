@@ -167,6 +167,44 @@ def test_toxicity_edges(docs, labels, none, without_ids):
     assert toxicity.toxicity(without_ids, labels).count() == 4
 
 
+def test_forward_pass_equals_a_naive_convolution():
+    """Scores of a fitted model against loops over places, taps and filters."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{rng.integers(60)}" for _ in range(rng.integers(0, 30))).encode() for _ in range(400)]
+    labels = np.array([float(b"w7" in t.split() or b"w8 w9" in t) for t in texts])
+    m = toxicity.fit(texts, labels, toxicity.Settings(least_texts=3, epochs=2))
+    reader = toxicity.Rows(m.row_of, m.settings.hash_bits)
+    for text in [*texts[:40], b"", b"unknown words", b"w7"]:
+        ids = reader.of(text.split())
+        pooled = []
+        for w, taps in m.taps.items():
+            n = max(ids.shape[1], w)
+            for f in range(m.settings.filters):
+                best = -math.inf
+                for at in range(n - w + 1):
+                    total = 0.0
+                    for j in range(w):
+                        for k in (0, 1):  # the word and its beginning
+                            row = ids[k, at + j] if at + j < ids.shape[1] else 0
+                            total += float(taps[j][row, f])
+                    best = max(best, total)
+                pooled.append(max(best + float(m.bias[w][f]), 0.0))
+        want = 1 / (1 + math.exp(-sum(a * float(b) for a, b in zip(pooled, m.dense, strict=True)) - m.shift))
+        assert m.raw(ids) == pytest.approx(want, abs=1e-5)
+    found = np.array([m.raw(reader.of(t.split())) for t in texts])
+    assert found[labels == 1].mean() > found[labels == 0].mean() + 0.2
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, f"t{i} " * (10 + i)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    rows = lambda **bound: [r.text for r in toxicity.training_rows(docs, labels, toxicity.Settings(**bound)).collect()]
+    assert len(rows()) == 50 and len(rows(max_rows=7)) == 7
+    some = rows(max_bytes=2000)
+    assert sum(map(len, some)) <= 2000 < sum(map(len, some)) + max(len(f"t{i} " * (10 + i)) for i in range(50))
+    assert set(some) < set(rows()) and rows(max_bytes=1) == []
+
+
 def test_cut_and_calibration():
     assert toxicity._cut(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.5)
     m = toxicity.Model(toxicity.Settings(), np.zeros(1, np.int32), cuts={"other": 0.4})
