@@ -139,8 +139,8 @@ ORACLES: dict[str, str] = {
     "filter_not": _main("id", "NOT list_contains(tags, 'src7')"),
     "filter_mixed_index_scan": f"WITH {TF} SELECT id FROM mem WHERE db = 'main' AND {_HAS} AND (contains(content, 'the') OR source <> 'src1')",
     "order_importance_desc_limit": _main("id, importance", tail="ORDER BY importance DESC, id DESC LIMIT 20"),
-    "order_created_asc": _main("id, created_at", tail="ORDER BY created_at, id LIMIT 15"),
-    "keyword_weight_order": f"WITH {TF} SELECT id FROM kw WHERE db = 'main' AND term = '{TERM}' ORDER BY weight DESC, id LIMIT 5",
+    "order_created_asc": _main("id, created_at, row_number() OVER (ORDER BY created_at, id) - 1 place"),
+    "keyword_weight_order": f"WITH {TF} SELECT id, row_number() OVER (ORDER BY weight DESC, id) - 1 place FROM kw WHERE db = 'main' AND term = '{TERM}'",
     "insert_parse_tags": _mem("db, id, array_to_string(tags, '|') tags"),
     "id_per_db": _mem("db, created_at, row_number() OVER (PARTITION BY db ORDER BY created_at) id"),
     "update_importance": _main("id, CASE WHEN source = 'src7' THEN CAST(1 AS FLOAT) ELSE importance END importance"),
@@ -151,8 +151,10 @@ ORACLES: dict[str, str] = {
     "term_counts": f"WITH {TF} SELECT * FROM tf",
     "keywords_top16": f"WITH {TF} SELECT db, id, term, round(CAST(weight AS DOUBLE), 4) weight FROM kw",
     "sentences": _mem(f"db, id, CAST(generate_subscripts({_SENTENCES}, 1) - 1 AS INTEGER) place, unnest({_SENTENCES}) sentence"),
-    "bigrams": _mem(f"db, id, coalesce(array_to_string({_bigrams('left(content, 60)')}, '|'), '') bigrams"),
-    "jaccard": f"WITH {MEM}, two AS (SELECT db, id, {_SENTENCES} s FROM mem) SELECT db, id, round({_jaccard('s[1]', 's[least(len(s), 2)]')}, 4) jaccard FROM two WHERE len(s) > 0",
+    "bigrams": _mem(f"db, id, coalesce(array_to_string({_bigrams('content')}, '|'), '') bigrams"),
+    "jaccard": f"""WITH {MEM}, grams AS (SELECT db, id, list_transform({_SENTENCES}, lambda x: list_distinct({_bigrams('x')})) g FROM mem
+      ), pairs AS (SELECT db, id, i, g[i] a, g[least(i + 1, len(g))] b FROM (SELECT db, id, g, unnest(range(1, greatest(len(g), 2))) i FROM grams WHERE len(g) > 0))
+      SELECT db, id, CAST(i - 1 AS INTEGER) place, round(coalesce(CAST(len(list_intersect(a, b)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 4) jaccard FROM pairs""",
     "key_points": f"{_POINTS} SELECT db, id, coalesce(array_to_string(p, chr(10)), '') key_points FROM points",
     "tag_index": _mem("DISTINCT db, unnest(tags) tag, id"),
     "corpus_stats": f"WITH {INDEX} SELECT db, n, round(avgdl, 4) avgdl FROM stats",

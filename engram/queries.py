@@ -26,16 +26,31 @@ ALL = ("main", "de", "es", "fr")
 _INDEXES: dict[tuple[str, str], ix.Index] = {}
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="engram-index-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: it survives lost executors."""
+    path = f"{_shared(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> ix.Index:
     """The stored index tables of a data set, written once in an application, as a database's are."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            folder = tempfile.mkdtemp(prefix="engram-index-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            base = f"file://{folder}"
-        _INDEXES[key] = ix.Index.write(documents.read(spark, sf_dir), f"{base.rstrip('/')}/index-{uuid.uuid4().hex}")
+        _INDEXES[key] = ix.Index.write(documents.read(spark, sf_dir), f"{_shared(spark)}/index-{uuid.uuid4().hex}")
     return _INDEXES[key]
 
 
@@ -54,6 +69,20 @@ def _sql(statement: str, *columns: str) -> Callable[[SparkSession, str], DataFra
     return run
 
 
+def _placed(statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A SELECT without a limit, and the place of each row in its order: ranges of the order are counted one by one."""
+
+    def run(s: SparkSession, p: str) -> DataFrame:
+        rows = _sql(statement)(s, p).withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+        rows = materialized(rows)  # a total order is written by ranges; numbers in a range rise with it
+        starts = rows.groupBy("range").agg(F.count("*").alias("n"), F.min("at").alias("low"))  # a row for each range
+        before = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        starts = starts.select("range", "low", before.alias("before"))
+        return rows.join(F.broadcast(starts), "range").withColumn("place", F.col("before") + F.col("at") - F.col("low")).drop("range", "at", "low", "before")
+
+    return run
+
+
 def _seed(index: ix.Index) -> int:
     return index.memories.where("db = 'main'").agg(F.min("id")).first()[0] or 0
 
@@ -186,8 +215,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_not": _sql("SELECT id FROM memories WHERE NOT tag = 'src7'"),
     "filter_mixed_index_scan": _sql(f"SELECT id FROM memories WHERE keyword = '{TERM}' AND (content LIKE '%the%' OR NOT source = 'src1')"),
     "order_importance_desc_limit": _sql("SELECT id, importance FROM memories ORDER BY importance DESC LIMIT 20"),
-    "order_created_asc": _sql("SELECT id, created_at FROM memories ORDER BY created_at LIMIT 15"),
-    "keyword_weight_order": _sql(f"SELECT id FROM memories WHERE keyword = '{TERM}' LIMIT 5"),
+    "order_created_asc": _placed("SELECT id, created_at FROM memories ORDER BY created_at"),
+    "keyword_weight_order": _placed(f"SELECT id FROM memories WHERE keyword = '{TERM}'"),
     "insert_parse_tags": parsed_tags,
     "id_per_db": id_per_db,
     "update_importance": update_importance,

@@ -2,7 +2,6 @@
 
 import pytest
 
-from engram.oracle import ORACLES
 from engram.queries import QUERIES
 
 LONG = "One two three four five six seven eight nine ten eleven twelve thirteen. " * 3 + "The end"
@@ -44,11 +43,6 @@ def test_jaccard_of_all_sentences(spark, tables):
     assert len(pairs) == 6 and found == {k: brute_jaccard(*p) for k, p in pairs.items()}
 
 
-def test_first_pairs_equal_sql(spark, sf_dir, duck, same):
-    first = QUERIES["jaccard"](spark, sf_dir).where("place = 0").drop("place")
-    same(first.toPandas(), duck.sql(ORACLES["jaccard"]).df())
-
-
 def test_searches_meet_databases_of_any_language(spark, tables):
     path = tables([("en", "clown stupid trash idiot"), ("it", "clown stupid trash idiot"), ("it", "other words only"), ("en", "plain text here")])
     for name in ("search_multi_db", "related_cross_db"):
