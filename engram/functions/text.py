@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Collection
 from dataclasses import dataclass, field
 
@@ -42,7 +43,8 @@ def normalize_term(term: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """Latin words in lower case; runs of CJK as overlapping pairs, since no dictionary is at hand."""
-    latin = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
+    plain = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    latin = F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
     both = F.regexp_extract_all(text, F.lit(f"{WORD}|{CJK}+"), F.lit(0))
 
     def pairs(t: Column) -> Column:
@@ -51,16 +53,22 @@ def raw_tokens(text: Column) -> Column:
     return F.when(text.rlike(CJK), F.flatten(F.transform(both, pairs))).otherwise(latin)
 
 
+def is_term(token: Column, how: Extraction = Extraction()) -> Column:
+    """Long enough, not noise and not a stop word."""
+    return (F.char_length(token) >= how.min_keyword_len) & ~token.isin(list(how.stopwords)) & ~token.rlike(NOISE)
+
+
 def tokens(text: Column, how: Extraction = Extraction()) -> Column:
-    """Tokens that are long enough, not noise and not stop words; repeats stay."""
-    words = list(how.stopwords)
-    keep = lambda t: (F.char_length(t) >= how.min_keyword_len) & ~t.isin(words) & ~t.rlike(NOISE)
-    return F.filter(raw_tokens(text), keep)
+    """The tokens that are terms, in order; repeats stay."""
+    return F.filter(raw_tokens(text), lambda t: is_term(t, how))
 
 
 def term_counts(rows: DataFrame, keys: list[str], text_col: str = "content", how: Extraction = Extraction()) -> DataFrame:
-    """(keys, term, tf): how often each token occurs in each row."""
-    each = rows.select(*keys, F.explode(tokens(F.col(text_col), how)).alias("term"))
+    """(keys, term, tf): how often each token occurs in each row.
+
+    Tokens are filtered as rows, not inside an array: so the filter is compiled.
+    """
+    each = rows.select(*keys, F.explode(raw_tokens(F.col(text_col))).alias("term")).where(is_term(F.col("term"), how))
     return each.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import Extraction, key_points, keyword_scores, term_counts
@@ -12,9 +13,22 @@ from ..functions.text import Extraction, key_points, keyword_scores, term_counts
 KEY = ["db", "id"]
 
 
-def extract(rows: DataFrame, how: Extraction = Extraction(), tf: DataFrame | None = None) -> DataFrame:
-    """rows (db, id, content, ...) with keywords and key_points, as a write of them would store."""
-    counts = term_counts(rows.select("db", "id", "content"), KEY, how=how) if tf is None else tf
+def term_table(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
+    """(db, id, term, tf, dl) of rows (db, id, content): term frequencies, and their sum for the memory.
+
+    Rows that lie together by (db, id) are not moved.
+    """
+    counts = term_counts(rows.select("db", "id", "content"), KEY, how=how)
+    return counts.withColumn("dl", F.sum("tf").over(W.partitionBy(*KEY)))
+
+
+def extract(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
+    """rows (db, id, content, ...) with keywords and key_points, as a write of them would store.
+
+    One shuffle by (db, id) serves the counting, the ranking of terms and the join.
+    """
+    rows = rows.repartition(*KEY)
+    counts = term_counts(rows.select("db", "id", "content"), KEY, how=how)
     entry = lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))
     lists = keyword_scores(counts, KEY, how).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))), entry).alias("__k"))
     none = F.array().cast("array<struct<term:string,weight:double>>")
@@ -23,23 +37,33 @@ def extract(rows: DataFrame, how: Extraction = Extraction(), tf: DataFrame | Non
 
 
 def postings(memories: DataFrame) -> DataFrame:
-    """(db, term, id, weight) of the stored keywords."""
-    return memories.select("db", "id", F.explode("keywords").alias("k")).select("db", "k.term", "id", "k.weight")
+    """(db, term, id, weight, norm, others) of the stored keywords: norm is the length of the memory's keyword vector,
+    others are all its terms, so that neither similarity nor co-occurrence has to look a memory up."""
+    norm = F.sqrt(F.aggregate("keywords", F.lit(0.0), lambda a, k: a + k["weight"].cast("double") * k["weight"].cast("double")))
+    each = memories.select("db", "id", norm.alias("norm"), F.transform("keywords", lambda k: k["term"]).alias("others"), F.explode("keywords").alias("k"))
+    return each.select("db", "k.term", "id", "k.weight", "norm", "others")
 
 
 def tag_index(memories: DataFrame) -> DataFrame:
     return memories.select("db", F.explode(F.array_distinct("tags")).alias("tag"), "id")
 
 
+def average_length(total: float, n: int) -> float:
+    """Above zero."""
+    return max(total / n, 1.1920929e-07)
+
+
 def doc_lengths(memories: DataFrame, tf: DataFrame) -> DataFrame:
     """(db, id, dl): the sum of term frequencies; 0 for a memory without terms."""
-    sums = tf.groupBy(*KEY).agg(F.sum("tf").alias("dl"))
+    sums = tf.groupBy(*KEY).agg(F.first("dl").alias("dl"))
     return memories.select(*KEY).join(sums, KEY, "left").select(*KEY, F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
+def corpus_stats(memories: DataFrame, tf: DataFrame) -> DataFrame:
     """(db, n, avgdl), with avgdl above zero."""
-    return lengths.groupBy("db").agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.1920929e-07)).alias("avgdl"))
+    sums = tf.groupBy("db").agg(F.sum("tf").alias("total"))
+    counts = memories.groupBy("db").agg(F.count("*").alias("n"))
+    return counts.join(sums, "db", "left").select("db", "n", F.greatest(F.coalesce("total", F.lit(0)) / F.col("n"), F.lit(1.1920929e-07)).alias("avgdl"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -51,48 +75,47 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(stats, "db").select("db", "term", "df", value.alias("idf"))
 
 
-def cooccurrence(entries: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """(db, term, other, cnt): memories that have both as keywords, in both directions.
+def cooccurrence(entries: DataFrame) -> DataFrame:
+    """(db, term, other, cnt): memories that have both as keywords; of all postings in both directions.
 
-    With `of` (db, term), edges from these terms only: the memories that hold them are found first, so that a
-    search never builds the whole graph. A memory has few keywords, so that the join grows with the memories.
+    Of some postings only the edges that begin at their terms: a search never builds the whole graph.
     """
-    pairs = entries.select("db", "id", "term").distinct()
-    left = pairs if of is None else pairs.join(of.select("db", "term").distinct(), ["db", "term"], "left_semi")
-    return left.join(pairs.withColumnRenamed("term", "other"), KEY).where("term <> other").groupBy("db", "term", "other").agg(F.count("*").alias("cnt"))
+    pairs = entries.select("db", "term", F.explode("others").alias("other"))
+    return pairs.where("term <> other").groupBy("db", "term", "other").agg(F.count("*").alias("cnt"))
 
 
 @dataclass
 class Index:
-    """What a search reads."""
+    """What a search reads: stored tables, of which it needs the pages of a few terms, and a row for each database."""
 
     memories: DataFrame
     postings: DataFrame
-    tf: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
-    df: DataFrame
+    tf: DataFrame  # db, id, term, tf, dl
+    stats: DataFrame  # db, n, avgdl
 
-    TABLES = ("memories", "postings", "tf", "lengths", "stats", "df")
+    @property
+    def lengths(self) -> DataFrame:
+        return doc_lengths(self.memories, self.tf)
+
+    @property
+    def df(self) -> DataFrame:
+        return document_frequency(self.tf)
 
     @classmethod
-    def build(cls, memories: DataFrame, how: Extraction = Extraction(), tf: DataFrame | None = None) -> Index:
-        tf = term_counts(memories.select("db", "id", "content"), KEY, how=how) if tf is None else tf
-        lengths = doc_lengths(memories, tf)
-        return cls(memories, postings(memories), tf, lengths, corpus_stats(lengths), document_frequency(tf))
+    def build(cls, memories: DataFrame, how: Extraction = Extraction()) -> Index:
+        tf = term_table(memories, how)
+        return cls(memories, postings(memories), tf, corpus_stats(memories, tf))
 
     @classmethod
     def write(cls, rows: DataFrame, path: str, how: Extraction = Extraction()) -> Index:
-        """Extract and store all tables under path, each from the stored one before it."""
+        """Extract and store all tables under path; rows are moved once for the terms and once for the keywords."""
         spark = rows.sparkSession
 
         def keep(name: str, df: DataFrame, *by: str) -> DataFrame:
             (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{path}/{name}")
             return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-        tf = keep("tf", term_counts(rows.select("db", "id", "content"), KEY, how=how), "db", "term")
-        memories = keep("memories", extract(rows, how, tf))
-        made = cls.build(memories, how, tf)
-        lengths = keep("lengths", made.lengths)
-        return cls(memories, keep("postings", made.postings, "db", "term"), tf, lengths, keep("stats", corpus_stats(lengths)), keep("df", made.df, "db", "term"))
-
+        tf = keep("tf", term_table(rows.select("db", "id", "content").repartition(*KEY), how), "db", "term")
+        memories = keep("memories", extract(rows, how))
+        entries = keep("postings", postings(memories), "db", "term")
+        return cls(memories, entries, tf, keep("stats", corpus_stats(memories, tf)))

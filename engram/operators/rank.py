@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import Extraction, keyword_scores, term_counts
-from .index import Index, cooccurrence, idf
+from .index import Index, cooccurrence, document_frequency, idf
 
 
 @dataclass(frozen=True)
@@ -24,44 +25,71 @@ class Ranking:
     limit: int = 10
 
 
-def text_vector(spark, text: str, how: Extraction = Extraction()) -> DataFrame:
-    """(term, weight): the keywords of a query text."""
-    row = spark.createDataFrame([(0, text)], "q int, content string")
-    return keyword_scores(term_counts(row, ["q"], how=how), ["q"], how).select("term", "weight")
+#: Terms and weights; a query has at most max_keywords of them.
+Vector = list[tuple[str, float]]
 
 
-def seed_vector(index: Index, db: str, id: int) -> DataFrame:
-    """(term, weight): the stored keywords of one memory."""
-    return index.postings.where((F.col("db") == db) & (F.col("id") == id)).select("term", F.col("weight").cast("double").alias("weight"))
+def text_vector(spark: SparkSession, text: str, how: Extraction = Extraction()) -> Vector:
+    """The keywords of a query text."""
+    row = spark.createDataFrame([(0, text)], "q int, content string").coalesce(1)
+    return [(r.term, r.weight) for r in keyword_scores(term_counts(row, ["q"], how=how), ["q"], how).select("term", "weight").collect()]
+
+
+def seed_vector(index: Index, db: str, id: int) -> Vector:
+    """The stored keywords of one memory."""
+    found = index.memories.where((F.col("db") == db) & (F.col("id") == id)).select("keywords").first()
+    return [(k.term, float(k.weight)) for k in found.keywords] if found else []
 
 
 def in_dbs(df: DataFrame, dbs: list[str] | None) -> DataFrame:
     return df if dbs is None else df.where(F.col("db").isin(dbs))
 
 
-def _per_db(index: Index, vector: DataFrame, dbs: list[str] | None) -> DataFrame:
+def _of(df: DataFrame, terms) -> DataFrame:
+    """The rows of a few terms: a literal list, which reaches the scan."""
+    return df.where(F.col("term").isin(sorted(set(terms))))
+
+
+def _summed(vector: Vector) -> dict[str, float]:
+    total: dict[str, float] = {}
+    for term, weight in vector:
+        total[term] = total.get(term, 0.0) + weight
+    return total
+
+
+def _frame(index: Index, vector: Vector) -> DataFrame:
+    """(term, weight); a query's terms."""
+    return index.stats.sparkSession.createDataFrame(sorted(_summed(vector).items()), "term string, weight double")
+
+
+def _per_db(index: Index, vector: Vector, dbs: list[str] | None) -> DataFrame:
     """The vector in each database: at most as many rows as a query has terms times the databases."""
-    total = vector.groupBy("term").agg(F.sum("weight").alias("weight"))
-    return in_dbs(index.stats, dbs).select("db", F.lit(1).alias("one")).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+    rows = [(r.db, *x) for r in in_dbs(index.stats, dbs).select("db").collect() for x in sorted(_summed(vector).items())]
+    return index.stats.sparkSession.createDataFrame(rows, "db string, term string, weight double")
 
 
-def expand(index: Index, vector: DataFrame, how: Ranking = Ranking(), dbs: list[str] | None = None) -> DataFrame:
+def expand(index: Index, vector: Vector, how: Ranking = Ranking(), dbs: list[str] | None = None) -> DataFrame:
     """(db, term, weight): the terms that most often share a memory with the query's, hop by hop.
 
     A hop h multiplies by decay ** h on top of the weight that its frontier already has. Only the query's own terms
-    are left out of every hop; a term that is reached twice adds up.
+    are left out of every hop; a term that is reached twice adds up. The first hop reads the postings of the
+    query's terms only.
     """
-    seeds = _per_db(index, vector, dbs)
-    frontier, found = seeds, None
+    seeds = sorted(_summed(vector))
+    entries, found, frontier = in_dbs(index.postings, dbs), None, None
     for hop in range(1, how.hops + 1):
-        edges = cooccurrence(in_dbs(index.postings, dbs), frontier)
-        step = edges.join(frontier, ["db", "term"]).join(index.df, ["db", "term"], "left")
+        if frontier is None:
+            edges = cooccurrence(_of(entries, seeds)).join(F.broadcast(_frame(index, vector)), "term")  # a query's terms
+            counts = document_frequency(_of(in_dbs(index.tf, dbs), seeds))
+        else:
+            edges = cooccurrence(entries.join(frontier.select("db", "term"), ["db", "term"], "left_semi")).join(frontier, ["db", "term"])
+            counts = index.df
         weight = F.col("weight") * F.col("cnt") / F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)) * F.lit(how.decay**hop)
-        step = step.select("db", F.col("other").alias("term"), weight.alias("weight")).join(seeds.select("db", "term"), ["db", "term"], "left_anti")
+        step = edges.join(counts, ["db", "term"], "left").select("db", F.col("other").alias("term"), weight.alias("weight")).where(~F.col("term").isin(seeds))
         frontier = step.groupBy("db", "term").agg(F.sum("weight").alias("weight"))
         found = frontier if found is None else found.unionByName(frontier).groupBy("db", "term").agg(F.sum("weight").alias("weight"))
     if found is None:
-        return seeds.where("false")
+        return _per_db(index, vector, dbs).where("false")
     best = W.partitionBy("db").orderBy(F.desc("weight"), "term")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= how.expansion_limit).drop("r")
 
@@ -69,33 +97,36 @@ def expand(index: Index, vector: DataFrame, how: Ranking = Ranking(), dbs: list[
 def bm25(index: Index, query: DataFrame, how: Ranking = Ranking()) -> DataFrame:
     """(db, id, bm25) of the memories that hold a term of query (db, term, weight).
 
-    The query is small: its terms select rows of the term table before anything else is joined.
+    query has a few rows for each database, which come to the driver: their terms, as literals, select the pages of
+    the term table that are read. The rows found say how many memories hold a term.
     """
-    hits = index.tf.join(F.broadcast(query), ["db", "term"])  # a query's terms: keywords and expansion limits bound it
-    terms = idf(index.df.join(F.broadcast(query.select("db", "term")), ["db", "term"], "left_semi"), index.stats)
-    full = hits.join(terms.select("db", "term", "idf"), ["db", "term"]).join(index.lengths, ["db", "id"]).join(index.stats, "db")
+    rows = [tuple(r) for r in query.select("db", "term", "weight").collect()]  # keywords and expansion limits bound it
+    small = index.stats.sparkSession.createDataFrame(rows, "db string, term string, weight double")
+    hits = in_dbs(_of(index.tf, [r[1] for r in rows]), sorted({r[0] for r in rows})).join(F.broadcast(small), ["db", "term"])  # as above
+    terms = idf(document_frequency(hits), index.stats)
+    full = hits.join(terms.select("db", "term", "idf"), ["db", "term"]).join(index.stats, "db")
     norm = F.col("tf") + how.k1 * (1 - how.b + how.b * F.greatest(F.col("dl"), F.lit(1)) / F.col("avgdl"))
     return full.groupBy("db", "id").agg(F.sum(F.col("weight") * F.col("idf") * F.col("tf") * (how.k1 + 1) / norm).alias("bm25"))
 
 
-def cosine(entries: DataFrame, vector: DataFrame, among: DataFrame) -> DataFrame:
-    """(db, id, cosine) between vector (term, weight) and the keywords of the memories among (db, id)."""
-    q = vector.groupBy("term").agg(F.sum("weight").alias("q"))
-    qq = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))  # one row
-    docs = entries.join(among.select("db", "id"), ["db", "id"], "left_semi").groupBy("db", "id", "term").agg(F.sum(F.col("weight").cast("double")).alias("w"))
-    sums = docs.join(F.broadcast(q), "term", "left").groupBy("db", "id").agg(F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    norm = F.col("n") * F.col("qn")
+def cosine(entries: DataFrame, vector: Vector) -> DataFrame:
+    """(db, id, cosine) between a vector and the keywords of the memories that share a term with it; others have 0."""
+    total = _summed(vector)
+    q = entries.sparkSession.createDataFrame(sorted(total.items()), "term string, q double")
+    length = math.sqrt(sum(x * x for x in total.values()))
+    sums = _of(entries, total).join(F.broadcast(q), "term").groupBy("db", "id").agg(F.sum(F.col("weight").cast("double") * F.col("q")).alias("dot"), F.first("norm").alias("n"))  # a query's terms
+    norm = F.col("n") * F.lit(length)
     value = F.when(norm > 0, F.least(F.greatest(F.col("dot") / norm, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    return sums.join(F.broadcast(qq)).select("db", "id", value.alias("cosine"))
+    return sums.select("db", "id", value.alias("cosine"))
 
 
-def rank(index: Index, vector: DataFrame, how: Ranking = Ranking(), dbs: list[str] | None = None, without: tuple[str, int] | None = None) -> DataFrame:
+def rank(index: Index, vector: Vector, how: Ranking = Ranking(), dbs: list[str] | None = None, without: tuple[str, int] | None = None) -> DataFrame:
     """(db, id, score), best first: every database is ranked by its own statistics, then all are merged."""
     query = _per_db(index, vector, dbs).unionByName(expand(index, vector, how, dbs))
     scores = bm25(index, query, how)
     if without:
         scores = scores.where(~((F.col("db") == without[0]) & (F.col("id") == without[1])))
-    near = cosine(in_dbs(index.postings, dbs), vector, scores)
+    near = cosine(in_dbs(index.postings, dbs), vector)
     joint = F.round(F.col("bm25") + how.similarity_weight * F.coalesce("cosine", F.lit(0.0)), 4)
     all_rows = scores.join(near, ["db", "id"], "left").select("db", "id", joint.alias("score"))
     return all_rows.where(F.col("score") >= how.min_score).orderBy(F.desc("score"), "db", "id").limit(how.limit)
@@ -112,7 +143,9 @@ def related(index: Index, db: str, id: int, how: Ranking = Ranking(), dbs: list[
 
 def materialized(index: Index, ranked: DataFrame) -> DataFrame:
     """db, id, score, content, keywords, tags, importance of ranked rows, at most a ranking's limit of them."""
-    return index.memories.join(F.broadcast(ranked), ["db", "id"]).select("db", "id", "score", "content", "keywords", "tags", "importance")
+    found = [tuple(r) for r in ranked.select("db", "id", "score").collect()]
+    rows = index.stats.sparkSession.createDataFrame(found, "db string, id long, score double")
+    return index.memories.where(F.col("id").isin([r[1] for r in found])).join(F.broadcast(rows), ["db", "id"]).select("db", "id", "score", "content", "keywords", "tags", "importance")
 
 
 def by_keyword(index: Index, db: str, term: str, limit: int) -> DataFrame:

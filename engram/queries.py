@@ -156,7 +156,7 @@ def bm25_rows(s: SparkSession, p: str) -> DataFrame:
 
 def cosine_rows(s: SparkSession, p: str) -> DataFrame:
     index = index_of(s, p)
-    found = rk.cosine(index.postings, rk.text_vector(s, TEXT), index.memories)
+    found = rk.cosine(index.postings, rk.text_vector(s, TEXT))
     return found.where("cosine > 0").select("db", "id", F.round("cosine", 4).alias("cosine"))
 
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Extraction
 from ..sources.store import Store
 
 
-def append_stream(stream: DataFrame, store: Store, db: str, checkpoint: str, extraction: Extraction = Extraction()):
-    """A stream of rows (content, source, importance, tags, created_at) into a database, a batch at a time."""
+def append_stream(stream: DataFrame, store: Store, db: str, checkpoint: str):
+    """A stream of rows (content, source, importance, tags, created_at) into a database, a batch at a time.
 
-    def add(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            store.publish(store.append(store.current, db, batch)[0])
+    The version that adds a batch names it, so that a batch that is replayed after a failure is not added twice.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        done = store.reload().dbs.get(db, {}).get("streams", {}).get(checkpoint, -1)
+        if number > done and not batch.isEmpty():
+            store.publish(store.append(store.current, db, batch, (checkpoint, number))[0])
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
