@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 from pathlib import Path
 
@@ -175,43 +176,42 @@ def in_bitmap(words: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (words[position >> U64(6)] >> (position & U64(63))) & U64(1) != 0
 
 
-#: Bits of the bitmaps that filter by id before a shuffle: 0.5 MB, whatever the corpus.
-ID_BITS = 22
+#: Most bits of a bitmap that filters by id before a shuffle.
+ID_BITS = 24
 
 
-def id_bitmap(ids: DataFrame, column: str):
-    """A broadcast bitmap of the hashes of a column. It has a fixed size: once it fills up, it saves less."""
-    words = bitmap(ids.select(F.pmod(F.xxhash64(F.col(column)), F.lit(1 << ID_BITS)).alias("p")), "p", ID_BITS)
-    return ids.sparkSession.sparkContext.broadcast(words)
+@dataclass(frozen=True)
+class Ids:
+    """A bitmap of hashes as a table of 64-bit words, 2 ** (bits - 6) rows at most: a bounded broadcast.
 
+    There are eight bits for an id or more as long as ID_BITS allow; beyond that the bitmap fills up and saves less.
+    """
 
-def by_bitmap(df: DataFrame, column: str, known, inside: bool) -> DataFrame:
-    """The rows whose hash is in the bitmap (among them some others), or those whose hash is not."""
-    at = fresh(df, "position")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mask = in_bitmap(known.value, b.column(b.num_columns - 1).to_numpy()) == inside
-            yield b.filter(pa.array(mask)).select(range(b.num_columns - 1))
-
-    return df.withColumn(at, F.pmod(F.xxhash64(F.col(column)), F.lit(1 << ID_BITS))).mapInArrow(keep, df.schema)
-
+    words: DataFrame
+    bits: int
 
-def only_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """Drop, before any shuffle, most rows whose id is not among ids; an exact join has to follow."""
-    return by_bitmap(df, column, id_bitmap(ids, id_column), True)
+    @classmethod
+    def of(cls, ids: DataFrame, column: str) -> Ids:
+        bits = min(ID_BITS, max(12, ids.count().bit_length() + 3))
+        at = ids.select(F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits)).alias("p"))
+        words = at.selectExpr("shiftright(p, 6) w", "shiftleft(1L, CAST(p & 63L AS INT)) b").groupBy("w").agg(F.bit_or("b").alias("b"))
+        return cls(materialize(words, "bitmap"), bits)
 
+    def among(self, df: DataFrame, column: str, inside: bool = True) -> DataFrame:
+        """The rows whose id is in the bitmap (with some others), or those whose id is surely not; in the JVM."""
+        at, w, b = (fresh(df, c) for c in ("position", "word", "bits"))
+        rows = df.withColumn(at, F.pmod(F.xxhash64(F.col(column)), F.lit(1 << self.bits)))
+        rows = rows.join(F.broadcast(self.words.selectExpr(f"w {w}", f"b {b}")), F.shiftright(at, 6) == F.col(w), "left")
+        held = F.expr(f"coalesce(shiftrightunsigned({b}, CAST({at} & 63L AS INT)) & 1L = 1L, false)")
+        return rows.where(held if inside else ~held).select(every(df))
 
-def possible(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """df's rows and a column `possible`: whether a hash may be among those of ids; native, for two long columns.
 
-    The broadcast is a bitmap as a table, of at most 2 ** (ID_BITS - 6) rows whatever the corpus.
-    """
-    at = lambda c: F.pmod(F.col(c), F.lit(1 << ID_BITS))
-    words = ids.select(F.shiftright(at(id_column), 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod({id_column}, 64) AS INT))").alias("b"))
-    known = materialize(words.groupBy("w").agg(F.bit_or("b").alias("b")), "bitmap")
-    found = df.join(F.broadcast(known), F.shiftright(at(column), 6) == F.col("w"), "left")
-    return found.withColumn("possible", F.expr(f"coalesce(shiftrightunsigned(b, CAST(pmod({column}, 64) AS INT)) & 1L = 1L, false)")).drop("w", "b")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def every(df: DataFrame) -> list[Column]:
@@ -223,14 +223,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 # --- blobs: many small keyed rows travel as sorted arrays, one binary value for each bucket --------
 
 #: Bits of a key that one shuffle deals out. Beyond HELD << STEP rows a second shuffle deals out as many again.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import BLOBS, U64, binary, bitmap, blob_batch, by_bitmap, components, dealt, each_bucket, fresh, id_bitmap, in_bitmap, keyed, materialize, mix, only_ids, prepare, run_starts, shingle_sets
+from .common import BLOBS, U64, Ids, binary, bitmap, blob_batch, components, dealt, each_bucket, fresh, in_bitmap, keyed, materialize, mix, prepare, run_starts, shingle_sets
 
 #: Tokens of the members of a group that are compared in one go, and least tokens of the queries that meet them.
 MEMBERS = 1 << 20
@@ -245,7 +245,7 @@ def verify(texts: DataFrame, members: DataFrame, queries: DataFrame, words: int,
     ask = queries.join(many, "grp").selectExpr("grp", "pmod(xxhash64(id), parts + 1) p", "parts", "explode(sequence(0L, chunks)) c", "id")
     tasks = own.selectExpr("grp", "c + p chunk", "0 kind", "id").unionByName(ask.selectExpr("grp", "c * (parts + 1) + p chunk", "1 kind", "id"))
     tasks = materialize(tasks, "tasks")
-    rows = tasks.join(only_ids(texts, "id", tasks, "id"), "id").select("grp", "chunk", "kind", "id", "text")
+    rows = tasks.join(Ids.of(tasks, "id").among(texts, "id"), "id").select("grp", "chunk", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, index = None, [], None
@@ -332,9 +332,9 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
     several = sizes.where("rows > 1").select("grp").join(placed, "grp").select("rep", "grp")
     named = profile.where("n > 0").select("id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).join(several, "rep")
     named = materialize(named.groupBy("id").agg(F.min("grp").alias("grp"), F.max(F.expr("id = rep")).alias("stands")), "named")
-    known = id_bitmap(named, "id")
-    alone = by_bitmap(texts, "id", known, False).select(F.col("id").alias("grp"), "text")
-    grouped = by_bitmap(texts, "id", known, True).join(named, "id", "left").where("coalesce(stands, true)").select(F.coalesce("grp", "id").alias("grp"), "text")
+    known = Ids.of(named, "id")
+    alone = known.among(texts, "id", False).select(F.col("id").alias("grp"), "text")
+    grouped = known.among(texts, "id").join(named, "id", "left").where("coalesce(stands, true)").select(F.coalesce("grp", "id").alias("grp"), "text")
     pairs = shared_prefixes(alone.unionByName(grouped), frequent_tokens(hits), words, percent, total // 3)
 
     # 4. open pairs whose bound allows a link

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import every, materialize, possible
+from .common import Ids, every, materialize
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -51,9 +51,9 @@ def dedup_lines(docs: DataFrame, least_docs: int = 2, least_chars: int = 10, id_
     shared = materialize(shared.select("h1", "h2", "first"), "shared-lines")
     drops = lines.join(shared, ["h1", "h2"]).where("doc IS NULL OR doc <> first").groupBy("doc", "row").agg(F.collect_set("at").alias("gone"))
     drops = materialize(drops.select(F.col("doc").alias("doc1"), F.col("row").alias("row1"), "gone", F.xxhash64("doc", "row").alias("spot1")), "drops")
-    known = possible(rows.withColumn("spot", F.xxhash64("doc", "row")), "spot", drops, "spot1")
-    stay = known.where("NOT possible").withColumn("gone", F.lit(None).cast(drops.schema["gone"].dataType))
-    lose = known.where("possible").join(drops.drop("spot1"), F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("row") == F.col("row1")), "left")
+    known, spotted = Ids.of(drops, "spot1"), rows.withColumn("spot", F.xxhash64("doc", "row"))
+    stay = known.among(spotted, "spot", False).withColumn("gone", F.lit(None).cast(drops.schema["gone"].dataType))
+    lose = known.among(spotted, "spot").join(drops.drop("spot1"), F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("row") == F.col("row1")), "left")
     both = stay.select("all", "text", "gone").unionByName(lose.select("all", "text", "gone"))
     all_lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone")), lambda i: F.get(all_lines, i))

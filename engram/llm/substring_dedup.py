@@ -31,15 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import BLOBS, U64, binary, bitmap, blob_batch, dealt, distinct_sorted, each_bucket, in_bitmap, keyed, materialize, mix, prepare, run_starts, window_hashes, word_hashes
+from .common import BLOBS, U64, Ids, binary, blob_batch, dealt, distinct_sorted, each_bucket, keyed, materialize, mix, prepare, run_starts, window_hashes, word_hashes
 
 #: Rows gathered before a sorted run of them is sent.
 FLUSH = 250_000
 #: Places of a node in one run of sent rows from which it is hot: its places then stay where they are, and the node
 #: counts as branching for all, so that no bucket gathers a passage of a third of all documents.
 HOT = 16
-#: Bits of the bitmaps of documents that hold copies, repeated nodes or marks: 2 MB, whatever the corpus.
-SPOT_BITS = 24
 #: Stands for a null id, after all others.
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.dtype([("key", "<u8"), ("spot", "<i8"), ("at", "<i4"), ("before", "<u8"), ("after", "<u8")])
@@ -261,28 +259,11 @@ def late_paths(paths: DataFrame) -> DataFrame:
     return late.groupBy("spot").agg(F.collect_list(F.expr("shiftleft(start, 32) | size")).alias("gone"))
 
 
-def _spot(column: str):
-    return F.pmod(F.col(column), F.lit(1 << SPOT_BITS))
-
-
-def _picked(*wanted):
-    """A filter of batches by (bitmap of hashes, column, whether it must hold the hash)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for known, column, inside in wanted:
-                at = b.column(b.schema.get_field_index(column)).to_numpy() & ((1 << SPOT_BITS) - 1)
-                b = b.filter(pa.array(in_bitmap(known.value, at) == inside))
-            yield b
-
-    return run
-
-
 class Units:
     """The texts to compare, one of each that copies share: rows (doc, row, proof, spot, text).
 
     Rows with the same text are copies of the one with the smallest id. Texts without copies are read where they lie
-    (rows, less those in a bitmap of fixed size); the rest, which an exact join has told apart, are stored.
+    (rows, less those in a bitmap); the rest, which an exact join has told apart, are stored.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
@@ -291,8 +272,8 @@ class Units:
         self.rows = rows = rows.withColumn("spot", F.xxhash64("doc", "row", "proof"))
         classes = rows.groupBy("row", "proof").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
         classes = materialize(classes, "copied-texts")
-        self.copied = rows.sparkSession.sparkContext.broadcast(bitmap(classes.select(_spot("row").alias("p")), "p", SPOT_BITS))
-        maybe = rows.mapInArrow(_picked((self.copied, "row", True)), rows.schema).join(classes, ["row", "proof"], "left")
+        self.copied = Ids.of(classes, "row")
+        maybe = self.copied.among(rows, "row").join(classes, ["row", "proof"], "left")
         copies = maybe.where("n IS NOT NULL")
         one = copies.groupBy("row", "proof").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).withColumn("spot", F.xxhash64("doc", "row", "proof"))
         self.stored = materialize(maybe.where("n IS NULL").select(rows.columns).unionByName(one), "units")
@@ -300,10 +281,12 @@ class Units:
         each = copies.groupBy("row", "proof", "doc", "first").agg(F.count("*").alias("c"))
         self.copies = materialize(each.selectExpr("row", "proof", "doc", "c - if(doc = first, 1, 0) times").where("times > 0"), "copies")
 
-    def where(self, *wanted) -> DataFrame:
-        """The units whose hashes are, or are not, in further bitmaps."""
-        near = self.rows.mapInArrow(_picked((self.copied, "row", False), *wanted), self.rows.schema)
-        return near.unionByName(self.stored.mapInArrow(_picked(*wanted), self.rows.schema).select(self.rows.columns))
+    def all(self) -> DataFrame:
+        return self.copied.among(self.rows, "row", False).unionByName(self.stored)
+
+    def among(self, ids: Ids, inside: bool = True) -> DataFrame:
+        """The units whose spot is among ids (with some others), or those whose spot is surely not."""
+        return ids.among(self.copied.among(self.rows, "row", False), "spot", inside).unionByName(ids.among(self.stored, "spot", inside))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,21 +299,20 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     repeat both one is the first. No rows give no rows; other columns are ignored, whatever their names. A long
     text is held whole in one task, with a few arrays as long as its words.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     total = int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // 32  # samples, about
     units = Units(docs, id_col, text_col)
 
     # repeated nodes, and the spans of their paths
-    nodes = materialize(repeated_nodes(units.where(), window, total), "nodes")
-    affected = spark.sparkContext.broadcast(bitmap(nodes.select(_spot("spot").alias("p")).distinct(), "p", SPOT_BITS))
-    held = units.where((affected, "spot", True)).join(nodes.groupBy("spot").agg(F.collect_list("marks").alias("marks")), "spot")
+    nodes = materialize(repeated_nodes(units.all(), window, total), "nodes")
+    held = units.among(Ids.of(nodes, "spot")).join(nodes.groupBy("spot").agg(F.collect_list("marks").alias("marks")), "spot")
     found = materialize(late_windows(send_spans(held.select("doc", "spot", "text", "marks"), window), total), "found")
     windows = found.where(F.col("bucket") < _PATHS).groupBy(F.col("own").alias("spot")).agg(F.collect_list("rows").alias("windows"))
     paths = late_paths(found.where(F.col("bucket") >= _PATHS))
     late = materialize(windows.join(paths, "spot", "full"), "late")
 
     # texts that lose words, and all others
-    marked = spark.sparkContext.broadcast(bitmap(late.select(_spot("spot").alias("p")).distinct(), "p", SPOT_BITS))
+    marked = Ids.of(late, "spot")
     result = "doc long, n_words long, n_removed long, text string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,9 +336,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             kinds = (pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc", "n_words", "n_removed", "text"])
 
-    losing = units.where((marked, "spot", True)).join(late, "spot", "left").select("doc", "text", "windows", "gone").mapInArrow(cut, result)
+    losing = units.among(marked).join(late, "spot", "left").select("doc", "text", "windows", "gone").mapInArrow(cut, result)
     words = F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))
-    alone = units.where((marked, "spot", False)).select("doc", words.alias("w"))
+    alone = units.among(marked, False).select("doc", words.alias("w"))
     alone = alone.select("doc", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("w", " ").alias("text"))
 
     # copies repeat a text with a smaller id (or the same row): all of it, if it has a window
