@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .stopwords import ENGLISH
+from .stopwords import CHINESE, ENGLISH
 
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}]"
 #: Latin words and numbers, with a decimal part or a percent sign.
@@ -33,7 +33,7 @@ class Extraction:
     max_key_points: int = 3
     min_keyword_len: int = 2
     max_key_point_len: int = 140
-    stopwords: Collection[str] = field(default=ENGLISH)
+    stopwords: Collection[str] = field(default=(*ENGLISH, *CHINESE))
 
 
 def normalize_term(term: Column) -> Column:

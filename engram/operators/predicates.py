@@ -57,17 +57,19 @@ def _conjuncts(e) -> list:
 
 
 def selected(memories: DataFrame, s: d.Select, entries: DataFrame | None = None) -> DataFrame:
-    """SELECT: filter, order and limit; ties follow the id, falling with DESC. keyword = alone orders by weight."""
+    """SELECT: filter, order and limit.
+
+    keyword = alone gives candidates by weight, then id, all else by id. ORDER BY keeps that order among ties, and
+    DESC turns all of it round.
+    """
     columns = list(STAR if s.columns is None else s.columns)
     rows = filtered(memories, s.where, entries)
-    if s.order:
-        by, falls = s.order
-        rows = rows.orderBy(F.desc(by), F.desc("id")) if falls else rows.orderBy(by, "id")
-    elif isinstance(s.where, d.Equals) and s.where.column == "keyword":
-        weight = F.filter("keywords", lambda k: k["term"] == s.where.value)[0]["weight"]
-        rows = rows.orderBy(F.desc(weight), "id")
-    else:
-        rows = rows.orderBy("id")
+    candidates = [(F.col("id"), False)]
+    if isinstance(s.where, d.Equals) and s.where.column == "keyword":
+        candidates.insert(0, (F.filter("keywords", lambda k: k["term"] == s.where.value)[0]["weight"], True))
+    by, falls = s.order or (None, False)
+    keys = [(F.col(by), False), *candidates] if by else candidates
+    rows = rows.orderBy(*[c.desc() if desc != falls else c.asc() for c, desc in keys])
     if s.limit is not None:
         rows = rows.limit(s.limit)
     assert set(columns) <= set(NAMED)

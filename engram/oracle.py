@@ -112,6 +112,15 @@ def _mem(select: str, rest: str = "") -> str:
     return f"WITH {MEM} SELECT {select} FROM mem {rest}"
 
 
+#: Rows as the store numbers them.
+STORED = f"{MEM}, stored AS (SELECT * EXCLUDE (id), row_number() OVER (PARTITION BY db ORDER BY created_at, content) id FROM mem), own AS (SELECT * FROM stored WHERE db = 'main'), top AS (SELECT max(id) n FROM own)"
+
+
+def _own(select: str, where: str = "true", more: str = "") -> str:
+    """Rows of main in the store, and further ones."""
+    return f"WITH {STORED} SELECT {select} FROM own WHERE {where} {more}"
+
+
 def _main(select: str, where: str = "true", tail: str = "") -> str:
     return _mem(select, f"WHERE db = 'main' AND ({where}) {tail}")
 
@@ -142,11 +151,22 @@ ORACLES: dict[str, str] = {
     "order_created_asc": _main("id, created_at, row_number() OVER (ORDER BY created_at, id) - 1 place"),
     "keyword_weight_order": f"WITH {TF} SELECT id, row_number() OVER (ORDER BY weight DESC, id) - 1 place FROM kw WHERE db = 'main' AND term = '{TERM}'",
     "insert_parse_tags": _mem("db, id, array_to_string(tags, '|') tags"),
-    "id_per_db": _mem("db, created_at, row_number() OVER (PARTITION BY db ORDER BY created_at) id"),
-    "update_importance": _main("id, CASE WHEN source = 'src7' THEN CAST(1 AS FLOAT) ELSE importance END importance"),
-    "update_tags": _main("id, CASE WHEN importance >= CAST(0.7 AS FLOAT) THEN 'good|kept' ELSE array_to_string(tags, '|') END tags"),
-    "delete_by_keyword": f"WITH {TF} SELECT id FROM mem WHERE db = 'main' AND NOT ({_HAS})",
-    "drop_database_survivors": _mem("db, id", "WHERE db <> 'fr'"),
+    "id_per_db": f"WITH {STORED} SELECT db, created_at, id FROM stored",
+    "insert_rows": _own("id, content, source, importance, array_to_string(tags, '|') tags", more="""
+      UNION ALL SELECT n + 1, 'a new note', 'me', CAST(1 AS FLOAT), 'x|y' FROM top UNION ALL SELECT n + 2, 'and one more', 'sql', CAST(0.5 AS FLOAT), '' FROM top"""),
+    "update_importance": _own("id, CASE WHEN source = 'src7' THEN CAST(1 AS FLOAT) ELSE importance END importance"),
+    "update_tags": _own("id, CASE WHEN importance >= CAST(0.7 AS FLOAT) THEN 'good|kept' ELSE array_to_string(tags, '|') END tags"),
+    "delete_by_keyword": f"""WITH {TF}, stored AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY created_at, content) rid FROM mem)
+      SELECT rid id FROM stored WHERE db = 'main' AND NOT ({_HAS})""",
+    "create_database": _mem("DISTINCT db AS database", "UNION SELECT 'fresh'"),
+    "drop_database_survivors": f"WITH {STORED} SELECT db, id FROM stored WHERE db <> 'fr'",
+    "commit_of_two": _own("id, source", more="UNION ALL SELECT n + 1, 'a' FROM top UNION ALL SELECT n + 2, 'b' FROM top"),
+    "rollback_survivors": _own("id, source", more="UNION ALL SELECT n + 3, 'last' FROM top"),
+    "script_until_error": _own("id", more="UNION ALL SELECT n + 1 FROM top UNION ALL SELECT n + 2 FROM top"),
+    "show_tables": "SELECT 'memories' AS \"table\"",
+    "grants_of_user": "SELECT 'GRANT READ, WRITE ON main TO ann' AS \"grant\"",
+    "session_search": f"""{_ranked(_text_seeds(TEXT), ALL)}, stored AS (SELECT db, id, row_number() OVER (PARTITION BY db ORDER BY created_at, content) rid FROM mem)
+      SELECT r.db, s.rid id, r.score FROM ranked r JOIN stored s ON s.db = r.db AND s.id = r.id""",
     "tokenize": _mem(f"db, id, coalesce(array_to_string({_tokens('content')}, ' '), '') tokens"),
     "term_counts": f"WITH {TF} SELECT * FROM tf",
     "keywords_top16": f"WITH {TF} SELECT db, id, term, round(CAST(weight AS DOUBLE), 4) weight FROM kw",

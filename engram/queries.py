@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -17,13 +18,20 @@ from .operators import index as ix
 from .operators import rank as rk
 from .operators.predicates import filtered, selected
 from .plans import dialect as d
+from .schema import EngineError
+from .session import Engine
 from .sources import documents
+from .sources.store import Version
 from .streaming.upkeep import read_heat
 
 TEXT = "idiot clown stupid trash"
 TERM = "clown"
 ALL = ("main", "de", "es", "fr")
+#: Scripts of registered queries.
+INSERTS = "INSERT INTO memories (content, tags, source, importance) VALUES ('a new note', ' x , y,, ', 'me', 1.5); INSERT INTO memories (content) VALUES ('and one more')"
+ROLLED_BACK = f"BEGIN; {INSERTS}; UPDATE memories SET source = 'changed'; DELETE FROM memories WHERE id = 1; ROLLBACK; INSERT INTO memories (content, source) VALUES ('after all', 'last')"
 _INDEXES: dict[tuple[str, str], ix.Index] = {}
+_ENGINES: dict[tuple[str, str], Engine] = {}
 
 
 def _shared(spark: SparkSession) -> str:
@@ -112,28 +120,78 @@ def parsed_tags(s: SparkSession, p: str) -> DataFrame:
     return made.select("db", "id", F.array_join(text.split_list(F.col("raw"), ","), "|").alias("tags"))
 
 
+def engine_of(spark: SparkSession, sf_dir: str) -> Engine:
+    """A store with a database for each language, loaded in bulk; made once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENGINES:
+        made = Engine(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
+        store, rows = made.store, documents.read(spark, sf_dir).where("db IS NOT NULL AND content IS NOT NULL")
+        v = store.current
+        for name in sorted(r.db for r in rows.select("db").distinct().collect()):  # a row for each database
+            v = v if name in v.dbs else store.create(v, name)
+            v, _, _ = store.append(v, name, rows.where(F.col("db") == name).select("content", "source", "importance", "tags", "created_at"))
+        store.publish(v)
+        _ENGINES[key] = made
+    return _ENGINES[key]
+
+
+def scratch(spark: SparkSession, sf_dir: str, password: str | None = None) -> Engine:
+    """Another store over the same parts, for statements that write."""
+    base = engine_of(spark, sf_dir)
+    made = Engine(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}", admin_password=password)
+    made.store.current = made.store._write_version(Version(made.store.current.number, base.store.current.dbs))
+    return made
+
+
 def id_per_db(s: SparkSession, p: str) -> DataFrame:
-    return _rows(s, p).select("db", "created_at", F.row_number().over(W.partitionBy("db").orderBy("created_at")).cast("long").alias("id"))
+    store = engine_of(s, p).store
+    return store.read(store.current).select("db", "created_at", "id")
 
 
-def heat_rows(s: SparkSession, p: str) -> DataFrame:
-    log = s.read.parquet(f"{p}/events.parquet").select("ts", F.col("user_id").alias("id"))
-    total = read_heat(log).groupBy("id").agg(F.sum("heat").alias("heat"))
-    return rk.hottest(total, 10)
+def _after(script: str, select: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """What a session sees after a script, of a store that holds all documents. A statement that fails ends the script."""
 
+    def run(s: SparkSession, p: str) -> DataFrame:
+        session = scratch(s, p).session()
+        with contextlib.suppress(EngineError):
+            session.script(script)
+        rows = session.sql(select).rows
+        return rows.selectExpr(*columns) if columns else rows
+
+    return run
 
-def update_importance(s: SparkSession, p: str) -> DataFrame:
-    hit = F.col("source") == "src7"
-    return _rows(s, p).where("db = 'main'").select("id", F.when(hit, text.clamp_importance(F.lit(1.5))).otherwise(F.col("importance")).alias("importance"))
 
+def drop_survivors(s: SparkSession, p: str) -> DataFrame:
+    e = scratch(s, p)
+    e.session().script("DROP DATABASE fr; DROP DATABASE IF EXISTS nowhere")
+    return e.store.read(e.store.current).select("db", "id")
 
-def update_tags(s: SparkSession, p: str) -> DataFrame:
-    hit = F.col("importance") >= F.lit(0.7).cast("float")
-    return _rows(s, p).where("db = 'main'").select("id", F.array_join(F.when(hit, text.split_list(F.lit("good, kept"), ",")).otherwise(F.col("tags")), "|").alias("tags"))
 
+def commit_of_two(s: SparkSession, p: str) -> DataFrame:
+    """One session commits after another has written: both rows stay, with ids of their own."""
+    e = scratch(s, p)
+    a, b = e.session(), e.session()
+    a.script("BEGIN; INSERT INTO memories (content, source) VALUES ('of a transaction', 'a')")
+    b.sql("INSERT INTO memories (content, source) VALUES ('at once', 'b')")
+    a.sql("COMMIT")
+    return b.sql("SELECT id, source FROM memories").rows
 
-def delete_by_keyword(s: SparkSession, p: str) -> DataFrame:
-    return filtered(index_of(s, p).memories.where("db = 'main'"), d.Not(d.Equals("keyword", TERM))).select("id")
+
+def grants_of_user(s: SparkSession, p: str) -> DataFrame:
+    admin = scratch(s, p, "a long password").session()
+    admin.script("CREATE USER ann IDENTIFIED BY 'another long one'; GRANT WRITE, READ ON main TO ann; GRANT ADMIN ON de TO ann; REVOKE ADMIN ON de FROM ann")
+    return admin.sql("SHOW GRANTS FOR ann").rows
+
+
+def session_search(s: SparkSession, p: str) -> DataFrame:
+    """SEARCH over the index that the store keeps."""
+    return engine_of(s, p).session().sql(f"SEARCH '{TEXT}' IN main, de, es, fr").rows.select("db", "id", "score")
+
+
+def heat_rows(s: SparkSession, p: str) -> DataFrame:
+    log = s.read.parquet(f"{p}/events.parquet").select("ts", F.col("user_id").alias("id"))
+    total = read_heat(log).groupBy("id").agg(F.sum("heat").alias("heat"))
+    return rk.hottest(total, 10)
 
 
 def key_points_rows(s: SparkSession, p: str) -> DataFrame:
@@ -219,10 +277,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_weight_order": _placed(f"SELECT id FROM memories WHERE keyword = '{TERM}'"),
     "insert_parse_tags": parsed_tags,
     "id_per_db": id_per_db,
-    "update_importance": update_importance,
-    "update_tags": update_tags,
-    "delete_by_keyword": delete_by_keyword,
-    "drop_database_survivors": lambda s, p: _rows(s, p).where("db <> 'fr'").select("db", "id"),
+    "insert_rows": _after(INSERTS, "SELECT id, content, source, importance, tags FROM memories", "id", "content", "source", "importance", "array_join(tags, '|') tags"),
+    "update_importance": _after("UPDATE memories SET importance = 1.5 WHERE source = 'src7'", "SELECT id, importance FROM memories"),
+    "update_tags": _after("UPDATE memories SET tags = 'good, kept' WHERE importance >= 0.7", "SELECT id, tags FROM memories", "id", "array_join(tags, '|') tags"),
+    "delete_by_keyword": _after(f"DELETE FROM memories WHERE keyword = '{TERM}'", "SELECT id FROM memories"),
+    "create_database": _after("CREATE DATABASE fresh; CREATE DATABASE IF NOT EXISTS main", "SHOW DATABASES"),
+    "drop_database_survivors": drop_survivors,
+    "commit_of_two": commit_of_two,
+    "rollback_survivors": _after(ROLLED_BACK, "SELECT id, source FROM memories"),
+    "script_until_error": _after(f"{INSERTS}; USE nowhere; DELETE FROM memories WHERE id = 1", "SELECT id FROM memories"),
+    "show_tables": lambda s, p: engine_of(s, p).session().sql("SHOW TABLES").rows,
+    "grants_of_user": grants_of_user,
+    "session_search": session_search,
     "tokenize": lambda s, p: _rows(s, p).select("db", "id", F.array_join(text.tokens(F.col("content")), " ").alias("tokens")),
     "term_counts": lambda s, p: text.term_counts(_rows(s, p), ["db", "id"]),
     "keywords_top16": lambda s, p: ix.postings(index_of(s, p).memories).select("db", "id", "term", _weight()),
@@ -251,5 +317,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "all_terms": lambda s, p: rk.all_terms(index_of(s, p), "main"),
     "search_by_keyword": lambda s, p: rk.by_keyword(index_of(s, p), "main", TERM, 10).select("id", "term", _weight()),
     "hot_top_n": heat_rows,
-    "show_databases": lambda s, p: _rows(s, p).select(F.col("db").alias("database")).distinct(),
+    "show_databases": lambda s, p: engine_of(s, p).session().sql("SHOW DATABASES").rows,
 }

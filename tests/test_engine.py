@@ -309,3 +309,20 @@ def test_streams(engine, spark, tmp_path):
     assert store.read(store.current, ["streamed"]).count() == 5
     log = spark.sql("SELECT timestamp'2024-01-01 00:10:00' ts, 1 id UNION ALL SELECT timestamp'2024-01-01 00:20:00', 1")
     assert [(r.id, r.heat) for r in read_heat(log).collect()] == [(1, 2)]
+
+
+def test_ties_follow_the_order_of_candidates(spark, tmp_path):
+    s = Engine(spark, f"file://{tmp_path}/store").session()
+    for i, content in enumerate(["kettle kettle kettle shines", "kettle", "kettle boils and boils and boils"]):
+        s.sql(f"INSERT INTO memories (content, importance) VALUES ('{content}', {0.5 if i < 2 else 0.9})")
+    weights = {r.id: dict(r.keywords)["kettle"] for r in s.sql("SELECT id, keywords FROM memories").rows.collect()}
+    best = sorted(weights, key=lambda i: (-weights[i], i))
+    assert ids(s.sql("SELECT id FROM memories WHERE keyword = 'kettle'")) == best
+    falling = ids(s.sql("SELECT id FROM memories WHERE keyword = 'kettle' ORDER BY importance DESC"))
+    assert falling == [3, *[i for i in reversed(best) if i != 3]]
+    assert ids(s.sql("SELECT id FROM memories ORDER BY importance DESC")) == [3, 2, 1]
+
+
+def test_chinese_stop_words(spark):
+    found = spark.createDataFrame([("我们可以学习",)], "a string").select(text.tokens(F.col("a"))).first()[0]
+    assert "我们" not in found and "可以" not in found and "学习" in found
