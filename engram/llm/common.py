@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts may be long, so that batches stay small in bytes.
@@ -214,6 +215,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def running(df: DataFrame, order: list[Column], *sums: str) -> DataFrame:
+    """df with place, from 1 in a total order, and for each of sums before_<name>, the sum over all earlier rows.
+
+    Two levels: rows are dealt out by ranges of the order and counted in each; a row for each range is summed up.
+    """
+    stored = materialize(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    inside = W.partitionBy("range").orderBy(*order)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = stored.groupBy("range").agg(F.count("*").alias("all"), *(F.sum(c).alias(f"all_{c}") for c in sums))
+    by = W.orderBy("range")  # as many rows as partitions
+    starts = totals.select("range", before("all", by).alias("start"), *(before(f"all_{c}", by).alias(f"start_{c}") for c in sums))
+    out = stored.withColumn("at", F.row_number().over(inside))
+    for c in sums:
+        out = out.withColumn(f"own_{c}", before(c, inside))
+    out = out.join(F.broadcast(starts), "range")
+    return out.select(*df.columns, (F.col("at") + F.col("start")).alias("place"), *((F.col(f"own_{c}") + F.col(f"start_{c}")).alias(f"before_{c}") for c in sums))
+
+
 def every(df: DataFrame) -> list[Column]:
     """All columns of df, whatever their names."""
     return [F.col(quoted(c)) for c in df.columns]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import every, materialize
+from .common import every, materialize, running
 
 
 def _hash(text: Column, seed: int) -> Column:
@@ -27,19 +27,25 @@ def targets(sizes: DataFrame, weights: Sequence[int], most: int = 3) -> DataFram
     Sources in code point order, null last, take the weights in turn. They share the sum of all sizes by weight,
     but none takes over `most` times its size: with caps in the order of cap / weight, the level that caps leave
     is (total - caps before) / (weights from here on), and the first source whose cap reaches it sets the level of
-    all that follow. This is where resharing the excess until none is above ends. All sums are of integers.
+    all that follow. This is where resharing the excess until none is above ends. All sums are of integers, in two
+    levels, so that sources may be many; the total and the level, two rows, come to the driver.
     """
-    order = W.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    w = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    up = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    all_rows = W.partitionBy()
-    before = lambda c: F.coalesce(F.sum(c).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    w = w.select("source", "source_size", "weight", "cap", (F.sum("source_size").over(all_rows) - before("cap")).alias("rest"), (F.sum("weight").over(all_rows) - before("weight")).alias("shares"), F.row_number().over(up).alias("turn"))
-    level = F.col("cap") * F.col("shares") >= F.col("weight") * F.col("rest")
-    w = w.withColumn("first", F.min(F.when(level, F.struct("turn", "rest", "shares"))).over(all_rows))
-    share = F.col("first.rest").cast("double") * F.col("weight") / F.col("first.shares")
-    target = F.when(F.col("turn") < F.col("first.turn"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), share))
+    named = [F.col("source").isNull(), F.col("source")]
+    w = running(sizes.select("source", "source_size"), named)
+    weight = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    w = w.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap"))
+    w = materialize(running(w, [F.col("cap") / F.col("weight"), *named], "cap", "weight"), "levels")
+    total = w.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  # products of longs
+    w = w.withColumn("rest", F.lit(total["size"]) - F.col("before_cap")).withColumn("shares", F.lit(total["weight"]) - F.col("before_weight"))
+    level = wide(F.col("cap")) * wide(F.col("shares")) >= wide(F.col("weight")) * wide(F.col("rest"))
+    first = w.where(level).agg(F.min(F.struct("place", "rest", "shares")).alias("first")).first()["first"]
+    cap = F.col("cap").cast("double")
+    if first is None:
+        target = cap
+    else:
+        share = F.lit(first["rest"]).cast("double") * F.col("weight") / F.lit(first["shares"])
+        target = F.when(F.col("place") < first["place"], cap).otherwise(F.least(cap, share))
     return w.select("source", "source_size", target.alias("target"))
 
 

@@ -1,3 +1,9 @@
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,10 +11,11 @@ import corpus_pipeline
 from engram.llm import mixing
 from engram.llm.common import materialize
 from engram.llm.oracle import ORACLES
-from engram.llm.queries import QUERIES
+from engram.llm.queries import QUERIES, TOKENIZER
 
 from .conftest import words
 from .test_dedup import brute_groups, brute_lines
+from .test_quality import brute_scores
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -77,31 +84,80 @@ def test_mixed_documents_repeat_rows(docs):
     assert got == {i: c for i, c in copies.items() if c}
 
 
+def test_many_sources_in_ranges(spark):
+    own = {f"s{i:04d}": (i * 7919) % 1000 for i in range(3000)}
+    df = spark.createDataFrame(list(own.items()), "source string, source_size long").repartition(7)
+    got = {r.source: r.target for r in mixing.targets(df, (1, 2, 3)).collect()}
+    assert got == pytest.approx(brute_targets(own))
+
+
+def brute_mix(rows, salts=64, seed=0):
+    """Copies of each of (doc_id, text, source), row by row: the order, one offset for a source, one copy for each
+    integer crossed."""
+    digest = lambda x: int(hashlib.md5(f"{seed} {x}".encode()).hexdigest()[:8], 16)
+    sizes, order = {}, []
+    for i, t, s in rows:
+        size = len(words(t))
+        sizes[s] = sizes.get(s, 0) + size
+        bits = f"{size:b}"
+        grade, salt = len(bits) * 16 + int(bits[:4], 2), digest(i) % salts
+        order.append((s is None, s or "", 9999 - grade if salt % 2 else grade, salt, -size if salt % 2 else size, i, s))
+    wanted, copies, rank = brute_targets(sizes), [], {}
+    for *_, i, s in sorted(order):
+        rank[s] = r = rank.get(s, 0) + 1
+        rate = wanted[s] / sizes[s] if sizes[s] else 0.0
+        start = digest(f"offset {'null source' if s is None else s}") / 2**32
+        copies.append((i, min(math.floor(start + r * rate) - math.floor(start + (r - 1) * rate), math.ceil(rate))))
+    return copies
+
+
+def brute_tokens(tokenizer, text):
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def test_pipeline_stages(spark, docs, by_id, labels, tmp_path):
     """Each stage against a brute-force version on what the stage before it kept."""
+    from tokenizers import Tokenizer
+
     sf_dir = str(tmp_path)
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf_dir}/documents.parquet")
+    docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "77 n_lines", "'kept' `a.b`").write.parquet(f"{sf_dir}/documents.parquet")
     labels.write.parquet(f"{sf_dir}/labels.parquet")
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = table.columns, {}
+    tokenizer = Tokenizer.from_file(TOKENIZER)
     for name, stage in corpus_pipeline.STAGES:
         before, table = table, materialize(stage(spark, table, sf_dir), "stage")
         kept[name] = table.toPandas()
-        texts = {r.doc_id: r.text for r in before.collect()} if name != "packing" else {}
+        rows = before.collect()
+        texts = {r.doc_id: r.text for r in rows}
         if name != "packing":
             assert table.columns == columns
+            assert set(kept[name].n_lines) == {77} and set(kept[name]["a.b"]) == {"kept"}
         if name == "quality classifier":
-            assert set(kept[name].doc_id) <= set(by_id)
+            scores = brute_scores([tuple(r) for r in before.select("doc_id", "text", "source", "lang").collect()], labels.collect())
+            assert min(abs(s[-1] - 0.5) for s in scores) > 1e-3
+            assert sorted(kept[name].doc_id) == sorted(s[0] for s in scores if s[-1] >= 0.5)
         elif name == "line dedup":
             assert dict(zip(kept[name].doc_id, kept[name].text, strict=True)) == {i: t for i, (_, _, t) in brute_lines(texts).items()}
-            assert (kept[name].n_chars == kept[name].text.map(len)).all()
+            assert (kept[name].n_chars == kept[name].text.map(len)).all() and len(kept[name]) == len(rows)
         elif name == "n-gram Jaccard join":
             assert set(kept[name].doc_id) == {i for i, (_, c) in brute_groups(texts).items() if i == c}
         elif name == "mixing sources to target weights":
-            copies = mixing.mix_sources(before).toPandas()
-            assert len(kept[name]) == copies.copies.sum()
+            want = Counter()
+            for i, n in brute_mix([(r.doc_id, r.text, r.source) for r in rows]):
+                want[i] += n
+            assert Counter(kept[name].doc_id) == +want
         else:
-            assert kept[name][kept[name].start == 0].shape[0] == before.count()
+            pieces = kept[name]
+            want = Counter()
+            for r in rows:
+                ids = brute_tokens(tokenizer, r.text)
+                for at in range(0, len(ids), 4096):
+                    part = np.array(ids[at : at + 4096], "<u4")
+                    want[r.doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+            assert Counter(zip(pieces.doc_id, pieces.start, pieces.length, pieces.ids_crc32, pieces.doc_tokens, strict=True)) == want
+            for _, own in pieces.sort_values("offset").groupby("sequence_id"):
+                assert list(own.offset) == [0, *own.length.cumsum().iloc[:-1]] and own.length.sum() <= 4096
     assert corpus_pipeline.run(spark, sf_dir).count() == len(kept["packing"])
     assert corpus_pipeline.ORACLE_SQL is None
 

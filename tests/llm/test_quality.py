@@ -84,31 +84,35 @@ def brute_posteriors(rows):
     return {k: (g, of_host[k[0]], x) for k, x in of_path.items()}
 
 
-def test_classifier_equals_brute_force(docs, labels):
-    """Scores from the features of each text, one by one, a fit by gradient steps, and posteriors site by site."""
-    rows = docs.select("doc_id", "text", "source", "lang").collect()
+def brute_scores(rows, labels):
+    """(doc_id, evidence, host's, path's, score) of (doc_id, text, source, lang): features of each text, one by one, a
+    fit by half Newton steps until it stands still, and posteriors site by site."""
     own = {}
-    for r in labels.collect():
+    for r in labels:
         if r.doc_id is not None and r.quality in (0, 1):
             own[r.doc_id] = min(own.get(r.doc_id, 1), r.quality)
-    x = {i: np.array(quality_classifier.features((r.text or "").encode())) for i, r in enumerate(rows)}
-    train = [i for i, r in enumerate(rows) if r.doc_id in own]
-    data, y = np.array([x[i] for i in train]), np.array([own[rows[i].doc_id] for i in train])
+    x = [np.array(quality_classifier.features((t or "").encode())) for _, t, _, _ in rows]
+    train = [i for i, r in enumerate(rows) if r[0] in own]
+    data, y = np.array([x[i] for i in train]), np.array([own[rows[i][0]] for i in train])
     mean, spread = data.mean(0), data.std(0) + 1e-6
     z = lambda v: np.append(np.clip((v - mean) / spread, -10, 10), 1.0)
     zs, w, ridge = np.array([z(v) for v in data]), np.zeros(len(mean) + 1), np.append(np.ones(len(mean)), 1e-3)
-    for _ in range(200):  # penalised likelihood, by Newton's method without the operator's step limits
+    for _ in range(200):
         q = 1 / (1 + np.exp(-zs @ w))
         w += 0.5 * np.linalg.solve((zs * (q * (1 - q))[:, None]).T @ zs + np.diag(ridge), zs.T @ (y - q) - ridge * w)
-    logit = {i: float(np.clip(z(v) @ w, -12, 12)) for i, v in x.items()}
-    p = {i: 1 / (1 + math.exp(-v)) for i, v in logit.items()}
-    post = brute_posteriors([(r.source or "", r.lang or "", p[i]) for i, r in enumerate(rows)])
+    logit = [float(np.clip(z(v) @ w, -12, 12)) for v in x]
+    p = [1 / (1 + math.exp(-v)) for v in logit]
+    post = brute_posteriors([(s or "", q or "", p[i]) for i, (_, _, s, q) in enumerate(rows)])
     odds = lambda v: math.log(min(1 - 1e-6, max(1e-6, v)) / (1 - min(1 - 1e-6, max(1e-6, v))))
-    want = []
-    for i, r in enumerate(rows):
-        g, host, path = post[r.source or "", r.lang or ""]
-        score = 1 / (1 + math.exp(-(logit[i] + odds(path) - odds(g))))
-        want.append((r.doc_id, p[i], host, path, score))
+    out = []
+    for i, (doc, _, s, q) in enumerate(rows):
+        g, host, path = post[s or "", q or ""]
+        out.append((doc, p[i], host, path, 1 / (1 + math.exp(-(logit[i] + odds(path) - odds(g))))))
+    return out
+
+
+def test_classifier_equals_brute_force(docs, labels):
+    want = brute_scores([tuple(r) for r in docs.select("doc_id", "text", "source", "lang").collect()], labels.collect())
     got = sorted((r.doc_id, r.evidence, r.host_posterior, r.path_posterior, r.score, r.kept) for r in quality_classifier.classify(docs, labels).collect())
     for a, b in zip(got, sorted(want), strict=True):
         assert a[:5] == pytest.approx(b, abs=2e-4) and a[5] == (a[4] >= 0.5)
