@@ -326,3 +326,17 @@ def test_ties_follow_the_order_of_candidates(spark, tmp_path):
 def test_chinese_stop_words(spark):
     found = spark.createDataFrame([("我们可以学习",)], "a string").select(text.tokens(F.col("a"))).first()[0]
     assert "我们" not in found and "可以" not in found and "学习" in found
+
+
+def test_caches_show_no_other_version(spark, tmp_path):
+    one, two = (Engine(spark, f"file://{tmp_path}/store") for _ in range(2))
+    a, b = one.session(), one.session()
+    a.sql("INSERT INTO memories (content, tags) VALUES ('a kettle', 'old')")
+    tags = lambda s: [list(r.tags) for r in s.sql("SEARCH 'kettle'").rows.collect()]
+    assert tags(a) == tags(b) == [["old"]]
+    a.script("BEGIN; UPDATE memories SET tags = 'new' WHERE id = 1")
+    assert tags(a) == [["new"]] and tags(b) == [["old"]]
+    a.sql("COMMIT")
+    assert tags(a) == tags(b) == [["new"]]
+    two.session().sql("UPDATE memories SET tags = 'newest' WHERE id = 1")  # as another process would
+    assert tags(a) == tags(b) == [["newest"]]

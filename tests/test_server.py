@@ -107,3 +107,25 @@ def test_log_file_rotates(spark, tmp_path):
     assert log.start(from_toml("[logging]\nenabled = false")) is None
     with pytest.raises(EngineError):
         from_toml("[logging]\nlevel = 'loud'")
+
+
+def test_clients_keep_each_others_rows(served):
+    """Two connections write at the same time, one of them in a transaction."""
+    one, two = (Client(served[1], "admin", "long enough") for _ in range(2))
+    one.sql("BEGIN; INSERT INTO memories (content) VALUES ('first of one')")
+    failed = []
+
+    def insert(client, text):
+        try:
+            client.sql(f"INSERT INTO memories (content) VALUES ('{text}')")
+        except EngineError as error:
+            failed.append(error)
+
+    threads = [threading.Thread(target=insert, args=x) for x in ((one, "second of one"), (two, "of two"))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    one.sql("COMMIT")
+    rows = two.sql("SELECT id, content FROM memories")["rows"]
+    assert not failed and sorted(r[0] for r in rows) == ["1", "2", "3"] and {r[1] for r in rows} == {"first of one", "second of one", "of two"}
