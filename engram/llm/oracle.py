@@ -27,7 +27,7 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON
 """
 
 _BITS = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END)" for i, r in enumerate(RULES))
-OP4 = rf"""
+_BOOK = rf"""
 WITH words AS (SELECT doc_id, coalesce(text, '') t, {_WORDS} w FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') s
@@ -44,10 +44,18 @@ WITH words AS (SELECT doc_id, coalesce(text, '') t, {_WORDS} w FROM documents
     length(regexp_replace(t, '[^!]', '', 'g')) n_bangs
   FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN dups d ON d.doc_id = w.doc_id
 ), book AS (SELECT *, CAST({_BITS} AS BIGINT) failed FROM measured)
+"""
+OP4 = rf"""{_BOOK}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed,
   failed & {mask(("too_few_words", "repeats_windows"))} <> 0 base_failed, failed & {mask(POLICIES["v3"])} = 0 kept
 FROM book
 """
+_WANT = mask(POLICIES["v3"])
+ABLATION = rf"""{_BOOK}
+SELECT rule, count(*) FILTER (WHERE (failed & bit) <> 0) n_failed, count(*) FILTER (WHERE (failed & {_WANT}) = bit) n_only,
+  count(*) FILTER (WHERE (failed & {_WANT} & ~bit) = 0) n_kept_without
+FROM book, (VALUES {", ".join(f"('{r.name}', CAST({1 << i} AS BIGINT))" for i, r in enumerate(RULES))}) v(rule, bit) GROUP BY 1
+"""
 
 OP5 = f"""
 WITH lines AS (
@@ -124,6 +132,7 @@ FROM conversations
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": OP2,
     "op4_quality_rules": OP4,
+    "ablation_of_rules": ABLATION,
     "op5_line_dedup": OP5,
     "op6_mixing": OP6,
     "op7_substring_dedup": OP7,

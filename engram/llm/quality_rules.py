@@ -114,7 +114,7 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
     """One row for each document: doc_id, the measurements and failed, a bitmask of the rules that it fails.
 
     Null and empty texts have no words and fail too_few_words; repeated rows get a row each; no rows give no rows;
-    other columns are ignored.
+    other columns, whatever their names, are ignored. A long text is measured whole by one task.
     """
     bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)]
     failed = bits[0]

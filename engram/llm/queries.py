@@ -34,6 +34,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept")
 
 
+def ablation_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the latest policy rejects, alone and with others."""
+    return quality_rules.ablation(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -66,5 +71,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_ngram_jaccard, op3_quality_classifier, op4_quality_rules, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_toxicity, op9_exact_dedup, op10_chat_format)
+    for f in (op1_packing, op2_ngram_jaccard, op3_quality_classifier, op4_quality_rules, ablation_of_rules, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_toxicity, op9_exact_dedup, op10_chat_format)
 }
