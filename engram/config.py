@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field, fields, replace
 
+from .functions.segment import load as load_words
 from .functions.stopwords import load
 from .functions.text import Extraction
 from .operators.rank import Ranking
@@ -40,9 +41,11 @@ def from_toml(text: str) -> Config:
     raw = tomllib.loads(text)
     engine = raw.get("engine", {})
     words = raw.get("tokenizer", {})
-    extraction = replace(Extraction(), **{k: v for k, v in _own(Extraction, words).items() if k != "stopwords"})
+    extraction = replace(Extraction(), **{k: v for k, v in _own(Extraction, words).items() if k not in ("stopwords", "dictionary")})
     if "stopwords_file" in words:
         extraction = replace(extraction, stopwords=tuple(sorted(load(words["stopwords_file"]))))
+    if "dictionary_file" in words:
+        extraction = replace(extraction, dictionary=load_words(words["dictionary_file"]))
     ranking = replace(Ranking(), **_own(Ranking, engine.get("search", {}), expansion_decay="decay", default_limit="limit"))
     cache = engine.get("cache", {})
     plain = _own(Config, {k: v for k, v in engine.items() if not isinstance(v, dict)}) | {k: cache[s] for s, k in (("query", "query_cache"), ("doc", "doc_cache"), ("hot_preload", "hot_preload")) if s in cache}

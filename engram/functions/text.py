@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Collection
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .segment import cut_arrays
 from .stopwords import CHINESE, ENGLISH
 
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}]"
@@ -34,6 +35,7 @@ class Extraction:
     min_keyword_len: int = 2
     max_key_point_len: int = 140
     stopwords: Collection[str] = field(default=(*ENGLISH, *CHINESE))
+    dictionary: Mapping[str, int] | None = None  # words of scripts without spaces, with their frequencies
 
 
 def normalize_term(term: Column) -> Column:
@@ -41,8 +43,11 @@ def normalize_term(term: Column) -> Column:
     return F.when(plain.rlike("[A-Za-z]") & ~plain.rlike(CJK), F.lower(plain)).otherwise(plain)
 
 
-def raw_tokens(text: Column) -> Column:
-    """Latin words in lower case; runs of CJK as overlapping pairs, since no dictionary is at hand."""
+def raw_tokens(text: Column, how: Extraction = Extraction()) -> Column:
+    """Latin words in lower case; runs of CJK as the dictionary's words or, without one, as overlapping pairs.
+
+    Only texts with CJK go to the dictionary, in Arrow batches; all else stays in the JVM.
+    """
     plain = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     latin = F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
     both = F.regexp_extract_all(text, F.lit(f"{WORD}|{CJK}+"), F.lit(0))
@@ -50,6 +55,9 @@ def raw_tokens(text: Column) -> Column:
     def pairs(t: Column) -> Column:
         return F.when(t.rlike(CJK) & (F.char_length(t) > 1), F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array(normalize_term(t)))
 
+    if how.dictionary:
+        words = F.arrow_udf(cut_arrays(how.dictionary), "array<string>")
+        return F.coalesce(words(F.when(text.rlike(CJK), both)), latin)
     return F.when(text.rlike(CJK), F.flatten(F.transform(both, pairs))).otherwise(latin)
 
 
@@ -60,7 +68,7 @@ def is_term(token: Column, how: Extraction = Extraction()) -> Column:
 
 def tokens(text: Column, how: Extraction = Extraction()) -> Column:
     """The tokens that are terms, in order; repeats stay."""
-    return F.filter(raw_tokens(text), lambda t: is_term(t, how))
+    return F.filter(raw_tokens(text, how), lambda t: is_term(t, how))
 
 
 def term_counts(rows: DataFrame, keys: list[str], text_col: str = "content", how: Extraction = Extraction()) -> DataFrame:
@@ -68,7 +76,7 @@ def term_counts(rows: DataFrame, keys: list[str], text_col: str = "content", how
 
     Tokens are filtered as rows, not inside an array: so the filter is compiled.
     """
-    each = rows.select(*keys, F.explode(raw_tokens(F.col(text_col))).alias("term")).where(is_term(F.col("term"), how))
+    each = rows.select(*keys, F.explode(raw_tokens(F.col(text_col), how)).alias("term")).where(is_term(F.col("term"), how))
     return each.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
