@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -107,31 +107,42 @@ def char_bigrams(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared, F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def key_points(text: Column, keywords: Column, how: Extraction = Extraction()) -> Column:
     """Up to max_key_points sentences, in text order, that hold the keywords and are not near copies of each other.
 
-    keywords is an array of (term, weight). Terms are sought as they are written, case and all.
+    keywords is an array of (term, weight). Terms are sought as they are written, case and all. A sentence's bigrams
+    are computed when it is its turn, and kept with it if it is chosen.
     """
-    total = F.aggregate(keywords, F.lit(0.0), lambda a, k: a + k["weight"])
-    total = F.when(total <= 0, F.lit(1.0)).otherwise(total)
+    sum_of = F.aggregate(keywords, F.lit(0.0), lambda a, k: a + k["weight"])
+    shape = "array<struct<at:int,s:string,g:array<string>>>"
 
-    def scored(s: Column, i: Column) -> Column:
+    def met(s: Column, i: Column) -> Column:
         hit = F.aggregate(keywords, F.lit(0.0), lambda a, k: a + F.when(s.contains(k["term"]), k["weight"]).otherwise(F.lit(0.0)))
-        length = F.char_length(s)
-        score = F.lit(0.60) * F.least(hit / total, F.lit(1.0)) + F.lit(0.25) / (1 + F.lit(0.08) * i) + F.lit(0.15) * F.exp(-(length - 40) * (length - 40) / F.lit(1250.0))
-        return F.struct((-score).alias("order"), i.alias("at"), s.alias("s"), hit.alias("hit"))
+        return F.struct(i.alias("at"), s.alias("s"), hit.alias("hit"))
 
-    ranked = F.array_sort(F.filter(F.transform(sentences(text), scored), lambda x: x["hit"] > 0))
-    shape = "array<struct<at:int,s:string>>"
+    def scored(x: Column, total: Column) -> Column:
+        length = F.char_length(x["s"])
+        score = F.lit(0.60) * F.least(x["hit"] / total, F.lit(1.0)) + F.lit(0.25) / (1 + F.lit(0.08) * x["at"]) + F.lit(0.15) * F.exp(-(length - 40) * (length - 40) / F.lit(1250.0))
+        return F.struct((-score).alias("order"), x["at"].alias("at"), x["s"].alias("s"))
 
     def step(acc: Column, x: Column) -> Column:
-        near = F.exists(acc, lambda a: jaccard(char_bigrams(a["s"]), char_bigrams(x["s"])) > 0.75)
-        return F.when((F.size(acc) < how.max_key_points) & ~near, F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["s"].alias("s"))))).otherwise(acc)
+        def add(g: Column) -> Column:
+            near = F.exists(acc, lambda a: jaccard(a["g"], g) > 0.75)
+            return F.when(near, acc).otherwise(F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["s"].alias("s"), g.alias("g")))))
+
+        return F.when(F.size(acc) >= how.max_key_points, acc).otherwise(bound(char_bigrams(x["s"]), add))
 
+    hits = F.filter(F.transform(sentences(text), met), lambda x: x["hit"] > 0)
+    ranked = bound(F.when(sum_of > 0, sum_of).otherwise(F.lit(1.0)), lambda total: F.array_sort(F.transform(hits, lambda x: scored(x, total))))
     chosen = F.aggregate(ranked, F.array().cast(shape), step)
     return F.transform(F.array_sort(chosen), lambda x: F.left(x["s"], F.lit(how.max_key_point_len)))
 
