@@ -340,3 +340,22 @@ def test_caches_show_no_other_version(spark, tmp_path):
     assert tags(a) == tags(b) == [["new"]]
     two.session().sql("UPDATE memories SET tags = 'newest' WHERE id = 1")  # as another process would
     assert tags(a) == tags(b) == [["newest"]]
+
+
+def test_a_store_of_the_first_layout_is_brought_up(spark, tmp_path):
+    import json
+
+    e = Engine(spark, f"file://{tmp_path}/new", admin_password="long enough")
+    e.session().script("INSERT INTO memories (content) VALUES ('a kettle'); INSERT INTO memories (content) VALUES ('a teapot'); CREATE USER ann IDENTIFIED BY 'another one'")
+    old = tmp_path / "old"
+    (old / "versions").mkdir(parents=True)
+    state = e.store.current.dbs["main"]
+    dbs = {"main": {"parts": [p["memories"] for p in state["parts"]], "next_id": 7, "attached": None}, "none": {"parts": [], "next_id": 1, "attached": None}}
+    (old / "versions" / "000000000005.json").write_text(json.dumps({"number": 5, "dbs": dbs}))
+    (old / "users.json").write_text(e.store.get_text("users.json"))
+    again = Engine(spark, f"file://{old}", admin_password="long enough")
+    s = again.session()
+    assert again.users.verify("ann", "another one") and again.store.current.number == 6
+    assert ids(s.sql("SEARCH 'kettle'")) == [1] and ids(s.sql("SELECT id FROM memories")) == [1, 2]
+    s.sql("INSERT INTO memories (content) VALUES ('a cup')")
+    assert ids(Engine(spark, f"file://{old}", admin_password="long enough").session().sql("SELECT id FROM memories")) == [1, 2, 7]
