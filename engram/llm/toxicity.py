@@ -198,15 +198,19 @@ def train_model(rows: list[Example], s: Settings) -> Model:
 
     params = {"emb": emb, "dense": dense, "shift": np.array([shift])} | {f"k{w}": kernels[w] for w in s.widths} | {f"b{w}": bias[w] for w in s.widths}
     m, v, step = {k: np.zeros_like(x) for k, x in params.items()}, {k: np.zeros_like(x) for k, x in params.items()}, 0
-    weight = np.where(y > 0, np.sqrt(n0 / n1), 1.0)
+    weight, place = np.where(y > 0, np.sqrt(n0 / n1), 1.0), np.zeros(len(emb), np.int32)
     for _ in range(s.epochs if 0 < y[train].sum() < len(train) else 0):
         shuffled = rng.permutation(train)
         for at in range(0, len(shuffled), 64):
             grads = {k: np.zeros_like(x) for k, x in params.items() if k != "emb"}
             touched: list[tuple[np.ndarray, np.ndarray]] = []
-            taps = {w: [params["emb"] @ params[f"k{w}"][j] for j in range(w)] for w in s.widths}
-            for i in shuffled[at : at + 64]:
-                own, states = ids[i], []
+            batch = shuffled[at : at + 64]
+            used = np.unique(np.concatenate([ids[i].ravel() for i in batch] + [np.zeros(1, np.int32)]))  # row 0 first
+            place[used] = np.arange(len(used))
+            small = params["emb"][used]
+            taps = {w: [small @ params[f"k{w}"][j] for j in range(w)] for w in s.widths}
+            for i in batch:
+                own, states = place[ids[i]], []
                 for w in s.widths:
                     x = _padded(own, w)
                     n = x.shape[1] - w + 1
@@ -224,8 +228,8 @@ def train_model(rows: list[Example], s: Settings) -> Model:
                     grads[f"b{w}"] += g
                     for j in range(w):
                         for rows in x[:, best + j]:
-                            grads[f"k{w}"][j] += params["emb"][rows].T * g
-                            touched.append((rows, g[:, None] * params[f"k{w}"][j].T))
+                            grads[f"k{w}"][j] += small[rows].T * g
+                            touched.append((used[rows], g[:, None] * params[f"k{w}"][j].T))
             step += 1
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
