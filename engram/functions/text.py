@@ -107,8 +107,8 @@ def char_bigrams(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(shared, F.size(F.array_union(a, b))), F.lit(0.0))
+    """Of two arrays without repeats: what they share by what either has; 0 if both are empty."""
+    return bound(F.size(F.array_intersect(a, b)), lambda n: F.coalesce(F.try_divide(n, F.size(a) + F.size(b) - n), F.lit(0.0)))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -139,7 +139,7 @@ def key_points(text: Column, keywords: Column, how: Extraction = Extraction()) -
             near = F.exists(acc, lambda a: jaccard(a["g"], g) > 0.75)
             return F.when(near, acc).otherwise(F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["s"].alias("s"), g.alias("g")))))
 
-        return F.when(F.size(acc) >= how.max_key_points, acc).otherwise(bound(char_bigrams(x["s"]), add))
+        return F.when(F.size(acc) >= how.max_key_points, acc).otherwise(bound(F.array_distinct(char_bigrams(x["s"])), add))
 
     hits = F.filter(F.transform(sentences(text), met), lambda x: x["hit"] > 0)
     ranked = bound(F.when(sum_of > 0, sum_of).otherwise(F.lit(1.0)), lambda total: F.array_sort(F.transform(hits, lambda x: scored(x, total))))
