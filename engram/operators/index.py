@@ -5,35 +5,45 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import Extraction, key_points, keyword_scores, term_counts
+from ..functions.text import Extraction, key_points, ranked_terms, term_counts
 
 KEY = ["db", "id"]
 
 
 def term_table(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
-    """(db, id, term, tf, dl) of rows (db, id, content): term frequencies, and their sum for the memory.
+    """(db, id, term, tf, dl, rank, weight) of rows (db, id, content): term frequencies, their sum for the memory, and
+    of its keywords the rank and weight.
 
     Rows that lie together by (db, id) are not moved.
     """
-    counts = term_counts(rows.select("db", "id", "content"), KEY, how=how)
-    return counts.withColumn("dl", F.sum("tf").over(W.partitionBy(*KEY)))
+    keys = KEY[::-1]  # a sort looks at a number first
+    return ranked_terms(term_counts(rows.select("db", "id", "content"), keys, how=how), keys, how).select(*KEY, "term", "tf", "dl", "rank", "weight")
 
 
-def extract(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
-    """rows (db, id, content, ...) with keywords and key_points, as a write of them would store.
+def with_keywords(rows: DataFrame, how: Extraction = Extraction(), terms: DataFrame | None = None) -> DataFrame:
+    """rows (db, id, content, ...) with keywords, and scored, which are these with weights of 64 bits.
 
-    One shuffle by (db, id) serves the counting, the ranking of terms and the join.
+    terms is the term table of the rows, if it is there already: contents are not tokenized again, and only keywords
+    are moved. Without it one shuffle by (db, id) serves the counting, the ranking of terms and the join.
     """
     rows = rows.repartition(*KEY)
-    counts = term_counts(rows.select("db", "id", "content"), KEY, how=how)
+    best = (term_table(rows, how) if terms is None else terms).where("rank IS NOT NULL")
     entry = lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))
-    lists = keyword_scores(counts, KEY, how).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))), entry).alias("__k"))
+    lists = best.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))), entry).alias("scored"))
     none = F.array().cast("array<struct<term:string,weight:double>>")
-    full = rows.drop("keywords", "key_points").join(lists, KEY, "left").withColumn("__k", F.coalesce("__k", none))
-    return full.withColumn("key_points", key_points(F.col("content"), F.col("__k"), how)).withColumn("keywords", F.col("__k").cast("array<struct<term:string,weight:float>>")).drop("__k")
+    full = rows.drop("keywords", "key_points").join(lists, KEY, "left").withColumn("scored", F.coalesce("scored", none))
+    return full.withColumn("keywords", F.col("scored").cast("array<struct<term:string,weight:float>>"))
+
+
+def with_points(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
+    return rows.withColumn("key_points", key_points(F.col("content"), F.col("scored"), how)).drop("scored")
+
+
+def extract(rows: DataFrame, how: Extraction = Extraction(), terms: DataFrame | None = None) -> DataFrame:
+    """rows (db, id, content, ...) with keywords and key_points, as a write of them would store."""
+    return with_points(with_keywords(rows, how, terms), how)
 
 
 def postings(memories: DataFrame) -> DataFrame:
@@ -103,19 +113,21 @@ class Index:
 
     @classmethod
     def build(cls, memories: DataFrame, how: Extraction = Extraction()) -> Index:
-        tf = term_table(memories, how)
+        tf = term_table(memories, how).drop("rank", "weight")
         return cls(memories, postings(memories), tf, corpus_stats(memories, tf))
 
     @classmethod
     def write(cls, rows: DataFrame, path: str, how: Extraction = Extraction()) -> Index:
-        """Extract and store all tables under path; rows are moved once for the terms and once for the keywords."""
+        """Extract and store all tables under path; contents are tokenized once, for the terms, and moved again for the
+        keywords, which come from the stored terms. Key points are evaluated by who reads them."""
         spark = rows.sparkSession
 
         def keep(name: str, df: DataFrame, *by: str) -> DataFrame:
             (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{path}/{name}")
             return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-        tf = keep("tf", term_table(rows.select("db", "id", "content").repartition(*KEY), how), "db", "term")
-        memories = keep("memories", extract(rows, how))
-        entries = keep("postings", postings(memories), "db", "term")
+        terms = keep("tf", term_table(rows.select("db", "id", "content").repartition(*KEY), how), "term", "db")
+        memories = with_points(keep("memories", with_keywords(rows, how, terms)), how)
+        tf = terms.drop("rank", "weight")
+        entries = keep("postings", postings(memories), "term", "db")
         return cls(memories, entries, tf, keep("stats", corpus_stats(memories, tf)))

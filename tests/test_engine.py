@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,6 +278,21 @@ def test_near_copies_among_key_points(spark):
     assert points == ["alpha beta gamma delta epsilon.", "zeta alpha eta theta words here."]  # stop words alone are no hit
 
 
+def test_key_points_of_a_sentence_of_any_length(spark):
+    long = "alpha " * 10_000  # 59 999 characters: the square of that is over 32 bits
+    rows = spark.createDataFrame([("main", 1, f"{long}. beta alpha gamma.")], "db string, id long, content string")
+    assert ix.extract(rows).first().key_points == [long[:140], "beta alpha gamma."]
+
+
+def test_sentences_end_at_marks_and_closers(spark):
+    """As the SQL cuts them: a run that ends in no mark is one, and only the very end of a text ends without a mark."""
+    ends, closers = text.ENDS, text.CLOSERS
+    odd = ["a.)b!!c", "a\n)b", "x”。y", ")\"a", "a\r", "a\u2028", "a\u2028\n", "no end", "", "😀。’😀;；", "a\r\nb\u0085", "?" * 3]
+    want = [[t for x in re.findall(f"[^{ends}]*(?:[{ends}][{closers}]*|\\Z)", o) if (t := x.strip(text.SPACE))] for o in odd]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, c string").select("i", text.sentences(F.col("c")).alias("s"))
+    assert [r.s for r in rows.orderBy("i").collect()] == want
+
+
 def test_empty_memories(spark):
     rows = spark.createDataFrame([], "db string, id long, content string")
     made = ix.extract(rows)
