@@ -156,28 +156,58 @@ def fit(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role
     return Parameters(p.marked, p.stray, p.wrong, p.goes_on, p.breaks, _shares(begins, p.first), _shares(follows, p.follows), _shares(classes, p.classes))
 
 
-def learn(fragments: DataFrame, base: Parameters | None = None, rounds: int = 3, max_conversations: int = 2000, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> Parameters:
+def learn(fragments: DataFrame, base: Parameters | None = None, rounds: int = 3, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> Parameters:
     """Parameters learned from transcripts without roles, by rounds of Viterbi and recounting.
 
-    They are fitted on at most max_conversations conversations of at most BLOCK fragments, chosen by a hash of their
-    id; only counts are collected.
+    All rows count, in the blocks and the order in which chat_turns reads them. The model sees lines as codes of two
+    bytes, which are written once; equal sequences of them are read once in a round. Only counts are collected.
     """
     p = base or Parameters()
     prepare(fragments.sparkSession)
-    rows = fragments.select(F.col(id_col).alias("c"), F.col(order_col).cast("long").alias("t"), F.col(text_col).cast("string").alias("x")).where("c IS NOT NULL")
-    some = rows.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") <= BLOCK).orderBy(F.xxhash64("c"), "c").limit(max_conversations)
-    sample = materialize(rows.join(some.select("c"), "c"), "transcripts").repartition("c").sortWithinPartitions("c", "t", "x")
+    rows = _blocks(fragments.select(F.col(id_col).alias("conv_id"), F.col(order_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text")))
+    kind = rows.schema["conv_id"]
+    own = to_arrow_type(kind.dataType)
+    keys = [kind, T.StructField("b", T.LongType()), T.StructField("sub", T.LongType())]
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, 3):
+            codes = np.array([_code(x) for x in _lines([r[5] or "" for r in run])], "<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([run[0][0]], own), *(pa.array([run[0][k]], pa.int64()) for k in (1, 2)), pa.array([codes], pa.binary())], ["conv_id", "b", "sub", "codes"])
+
+    schema = T.StructType([*keys, T.StructField("codes", T.BinaryType())])
+    blocks = materialize(rows.repartition("conv_id", "b", "sub").sortWithinPartitions("conv_id", "b", "sub", "turn", "tie", "text").mapInArrow(seen, schema), "line-codes")
+    spans = blocks.groupBy("conv_id").agg(F.min(F.struct("b", "sub")).alias("low"), F.count("*").alias("n")).where("n > 1").selectExpr("conv_id c", "low")
+    spans = materialize(spans, "long-conversations")
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    whole = materialize(blocks.join(spans, same, "left_anti").groupBy("codes").agg(F.count("*").alias("times")), "sequences")
+    tasks = min(8192, max(1, whole.count() >> 10))  # a scan would pack so small a table into few tasks
+    whole = whole.selectExpr("codes", "-1 entry", "-1 leaves", "times").repartition(tasks)
+    many = None
+    if spans.limit(1).count():
+        many = materialize(blocks.join(spans, same).select("conv_id", "b", "sub", "codes", (F.struct("b", "sub") == F.col("low")).alias("begins")), "long-codes")
     for _ in range(rounds):
         now = p
 
+        def sums(batches: Iterator[pa.RecordBatch], now: Parameters = now) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for conv, at, sub, codes, begins in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    m = transfer(_decoded(codes), now, begins)
+                    yield pa.RecordBatch.from_arrays([pa.array([conv], own), pa.array([at], pa.int64()), pa.array([sub], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv_id", "b", "sub", "m"])
+
         def count(batches: Iterator[pa.RecordBatch], now: Parameters = now) -> Iterator[pa.RecordBatch]:
             total = _Counts()
-            for run in _runs(batches, 1):
-                lines = _lines([r[2] or "" for r in run])
-                total.add(lines, viterbi(lines, now).tolist())
+            for b in batches:
+                for codes, entry, leaves, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    lines = _decoded(codes)
+                    total.add(lines, viterbi(lines, now, entry, leaves).tolist(), entry, times)
             yield pa.RecordBatch.from_arrays([pa.array([total.flat().tolist()], pa.list_(pa.float64()))], ["n"])
 
-        found = [r[0] for r in sample.mapInArrow(count, "n array<double>").collect()]  # some dozen numbers for each task
+        read = whole
+        if many is not None:
+            bounds = _bounds(many.mapInArrow(sums, T.StructType([*keys, T.StructField("m", T.ArrayType(T.DoubleType()))])), kind)
+            near = F.col("conv_id").eqNullSafe(F.col("c1")) & (F.col("b") == F.col("b1")) & (F.col("sub") == F.col("s1"))
+            read = whole.unionByName(many.join(bounds, near).select("codes", "entry", "leaves", F.lit(1).cast("long").alias("times")))
+        found = [r[0] for r in read.mapInArrow(count, "n array<double>").collect()]  # some dozen numbers for each task
         p = _Counts(np.sum(found, 0) if found else None).parameters(p)
     return p
 
@@ -194,25 +224,26 @@ class _Counts:
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.pairs, self.first, self.follows, self.classes)])
 
-    def add(self, lines: list[Line], states: list[int]) -> None:
-        n, last = len(ROLES), None
+    def add(self, lines: list[Line], states: list[int], entry: int = -1, times: int = 1) -> None:
+        """entry is the state before the first line (-1: a beginning); lines that occur several times count as often."""
+        n, last = len(ROLES), None if entry < 0 else entry
         for line, s in zip(lines, states, strict=True):
             begins, own = s < n, s % n
             if begins:
-                self.pairs[0] += (line.role is not None, 1)
+                self.pairs[0] += (times * (line.role is not None), times)
                 if line.role is not None:
-                    self.pairs[2] += (line.role != own, 1)
+                    self.pairs[2] += (times * (line.role != own), times)
             else:
-                self.pairs[1] += (line.role is not None, 1)
+                self.pairs[1] += (times * (line.role is not None), times)
             kind = line.rest_kind if begins and line.role is not None else line.kind
             if kind >= 0:
-                self.classes[own, kind] += 1
+                self.classes[own, kind] += times
             if last is None:
-                self.first[own] += 1
+                self.first[own] += times
             else:
-                self.pairs[4 if line.fresh else 3] += (begins == line.fresh, 1)
+                self.pairs[4 if line.fresh else 3] += (times * (begins == line.fresh), times)
                 if begins:
-                    self.follows[last % n, own] += 1
+                    self.follows[last % n, own] += times
             last = s
 
     def parameters(self, prior: Parameters) -> Parameters:
@@ -230,6 +261,19 @@ def _lines(texts: list[str]) -> list[Line]:
     return out
 
 
+def _code(line: Line) -> int:
+    """All that the model sees of a line, as a number below 300."""
+    return ((0 if line.role is None else line.role + 1) * len(CLASSES) + line.kind) * 12 + (line.rest_kind + 1) * 2 + line.fresh
+
+
+def _decoded(codes: bytes) -> list[Line]:
+    return list(map(_SEEN.__getitem__, np.frombuffer(codes, "<u2").tolist()))
+
+
+#: The line of each code, without text.
+_SEEN = [Line(0, "", None, None if x // 60 == 0 else x // 60 - 1, x // 12 % 5, x % 12 // 2 - 1, bool(x % 2)) for x in range(300)]
+
+
 def _emissions(lines: list[Line], p: Parameters) -> np.ndarray:
     return np.array([p.tables["emit"][x.role, x.kind, x.rest_kind] for x in lines])
 
@@ -312,6 +356,46 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("wide").alias("b"), sub.cast("long").alias("sub"), "turn", "tie", "text")
 
 
+def _bounds(tables: DataFrame, kind: T.StructField) -> DataFrame:
+    """(c1, b1, s1, entry, leaves): the best states before and at the end of each block of long conversations.
+
+    tables (conv_id, b, sub, m) has each block's transfer().
+    """
+    own = to_arrow_type(kind.dataType)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one row for a block; of each, its name and the best state before each state are kept
+        names: list[tuple] = []
+        back: list[np.ndarray] = []
+        score = None
+
+        def ends() -> pa.RecordBatch:
+            path = [int(score.argmax())]
+            for b in reversed(back[1:]):
+                path.append(int(b[path[-1]]))
+            path = path[::-1]
+            cols = list(zip(*names, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], own), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([-1, *path[:-1]], pa.int32()), pa.array(path, pa.int32())], ["conv_id", "b", "sub", "entry", "leaves"])
+
+        for batch in batches:
+            for conv, b, sub, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m = np.array(flat).reshape(STATES, STATES)
+                if names and names[-1][0] != conv:
+                    yield ends()
+                    names, back, score = [], [], None
+                step = m if score is None else score[:, None] + m
+                back.append(step.argmax(0).astype(np.int8))
+                score = step.max(0)
+                names.append((conv, b, sub))
+        if names:
+            yield ends()
+
+    keys = [kind, T.StructField("b", T.LongType()), T.StructField("sub", T.LongType())]
+    schema = T.StructType([*keys, T.StructField("entry", T.IntegerType()), T.StructField("leaves", T.IntegerType())])
+    found = materialize(tables.repartition("conv_id").sortWithinPartitions("conv_id", "b", "sub").mapInArrow(chain, schema), "bounds")
+    return found.selectExpr("conv_id c1", "b b1", "sub s1", "entry", "leaves")
+
+
 def chat_turns(fragments: DataFrame, parameters: Parameters | None = None, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
     """Turns of raw transcripts: conv_id, turn, part, role, text, rendered; one row for each turn of a fragment.
 
@@ -346,40 +430,9 @@ def chat_turns(fragments: DataFrame, parameters: Parameters | None = None, id_co
                 m = transfer(_lines([r[5] or "" for r in run]), p, run[0][6])
                 yield pa.RecordBatch.from_arrays([pa.array([run[0][0]], own), *(pa.array([run[0][k]], pa.int64()) for k in (1, 2)), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv_id", "b", "sub", "m"])
 
-        def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # one row for a block; of each, its name and the best state before each state are kept
-            names: list[tuple] = []
-            back: list[np.ndarray] = []
-            score = None
-
-            def ends() -> pa.RecordBatch:
-                path = [int(score.argmax())]
-                for b in reversed(back[1:]):
-                    path.append(int(b[path[-1]]))
-                path = path[::-1]
-                cols = list(zip(*names, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(cols[0], own), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([-1, *path[:-1]], pa.int32()), pa.array(path, pa.int32())], ["conv_id", "b", "sub", "entry", "leaves"])
-
-            for batch in batches:
-                for conv, b, sub, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    m = np.array(flat).reshape(STATES, STATES)
-                    if names and names[-1][0] != conv:
-                        yield ends()
-                        names, back, score = [], [], None
-                    step = m if score is None else score[:, None] + m
-                    back.append(step.argmax(0).astype(np.int8))
-                    score = step.max(0)
-                    names.append((conv, b, sub))
-            if names:
-                yield ends()
-
-        keys = [kind, T.StructField("b", T.LongType()), T.StructField("sub", T.LongType())]
-        a = T.StructType([*keys, T.StructField("m", T.ArrayType(T.DoubleType()))])
-        b = T.StructType([*keys, T.StructField("entry", T.IntegerType()), T.StructField("leaves", T.IntegerType())])
-        tables = many.repartition("conv_id", "b", "sub").sortWithinPartitions("conv_id", "b", "sub", "turn", "tie", "text").mapInArrow(sums, a)
-        bounds = materialize(tables.repartition("conv_id").sortWithinPartitions("conv_id", "b", "sub").mapInArrow(chain, b), "bounds")
-        bounds = bounds.selectExpr("conv_id c", "b b1", "sub s1", "entry", "leaves")
-        near = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("b") == F.col("b1")) & (F.col("sub") == F.col("s1"))
+        a = T.StructType([kind, T.StructField("b", T.LongType()), T.StructField("sub", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
+        bounds = _bounds(many.repartition("conv_id", "b", "sub").sortWithinPartitions("conv_id", "b", "sub", "turn", "tie", "text").mapInArrow(sums, a), kind)
+        near = F.col("conv_id").eqNullSafe(F.col("c1")) & (F.col("b") == F.col("b1")) & (F.col("sub") == F.col("s1"))
         rows = rows.join(bounds, near, "left").select("conv_id", "b", "sub", "turn", "tie", "text", F.coalesce("entry", F.lit(-1)).alias("entry"), F.coalesce("leaves", F.lit(-1)).alias("leaves"))
     else:
         rows = rows.withColumn("entry", F.lit(-1)).withColumn("leaves", F.lit(-1))

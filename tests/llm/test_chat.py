@@ -138,3 +138,26 @@ def test_rows_with_equal_or_no_numbers_spread_over_blocks(spark, monkeypatch):
     blocks = chat._blocks(df.select("conv_id", "turn", "text"))
     assert blocks.groupBy("conv_id", "b", "sub").count().agg(F.max("count")).first()[0] < 25
     assert sorted(map(str, chat.chat_turns(df, p).collect())) == whole
+
+
+def test_codes_say_all_that_the_model_sees():
+    lines = chat._lines(["User: why?\n- item\n\n[TOOL] 5", "### Human:\nplain " + "long " * 60, ""])
+    got = chat._decoded(np.array([chat._code(x) for x in lines], "<u2").tobytes())
+    assert [(x.role, x.kind, x.rest_kind, x.fresh) for x in got] == [(x.role, x.kind, x.rest_kind, x.fresh) for x in lines]
+
+
+def test_learning_counts_every_conversation(spark):
+    """More conversations than 2000, one of several blocks and one without an id: all lines of all of them count."""
+    rows = [(c, t, ["User: a question?", "plain"][t % 2] if c % 3 else f"[TOOL] {t}") for c in range(2500) for t in range(2)]
+    rows += [(9999, t, ["Human: more?", "- item", "AI: yes"][t % 3]) for t in range(2 * chat.BLOCK + 7)]
+    rows += [(None, t, "System: rules") for t in range(3)]
+    p, by_conv = chat.Parameters(), {}
+    for c, t, x in rows:
+        by_conv.setdefault(c, []).append(x)
+    total = chat._Counts()
+    for texts in by_conv.values():
+        lines = chat._lines(texts)
+        total.add(lines, chat.viterbi(lines, p).tolist())
+    want, got = total.parameters(p), chat.learn(spark.createDataFrame(rows, SCHEMA), p, rounds=1)
+    for name in ("marked", "stray", "wrong", "goes_on", "breaks", "first", "follows", "classes"):
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-12), name
