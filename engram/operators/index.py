@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Extraction, key_points, ranked_terms, term_counts
+from ..schema import KEYWORDS
 
 KEY = ["db", "id"]
 
@@ -22,6 +24,20 @@ def term_table(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
     return ranked_terms(term_counts(rows.select("db", "id", "content"), keys, how=how), keys, how).select(*KEY, "term", "tf", "dl", "rank", "weight")
 
 
+def keyword_lists(terms: DataFrame) -> DataFrame:
+    """(db, id, scored) of a term table: the keywords of each memory that has any, with weights of 64 bits."""
+    entry = lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))
+    lists = F.array_sort(F.collect_list(F.struct("rank", "term", "weight")))
+    return terms.where("rank IS NOT NULL").groupBy(*KEY).agg(F.transform(lists, entry).alias("scored"))
+
+
+def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows (db, id, ...) with scored and with keywords, which are these with weights of 32 bits."""
+    none = F.array().cast("array<struct<term:string,weight:double>>")
+    full = rows.drop("keywords", "key_points").join(lists, KEY, "left").withColumn("scored", F.coalesce("scored", none))
+    return full.withColumn("keywords", F.col("scored").cast(KEYWORDS))
+
+
 def with_keywords(rows: DataFrame, how: Extraction = Extraction(), terms: DataFrame | None = None) -> DataFrame:
     """rows (db, id, content, ...) with keywords, and scored, which are these with weights of 64 bits.
 
@@ -29,12 +45,7 @@ def with_keywords(rows: DataFrame, how: Extraction = Extraction(), terms: DataFr
     are moved. Without it one shuffle by (db, id) serves the counting, the ranking of terms and the join.
     """
     rows = rows.repartition(*KEY)
-    best = (term_table(rows, how) if terms is None else terms).where("rank IS NOT NULL")
-    entry = lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))
-    lists = best.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))), entry).alias("scored"))
-    none = F.array().cast("array<struct<term:string,weight:double>>")
-    full = rows.drop("keywords", "key_points").join(lists, KEY, "left").withColumn("scored", F.coalesce("scored", none))
-    return full.withColumn("keywords", F.col("scored").cast("array<struct<term:string,weight:float>>"))
+    return with_lists(rows, keyword_lists(term_table(rows, how) if terms is None else terms))
 
 
 def with_points(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
@@ -116,18 +127,50 @@ class Index:
         tf = term_table(memories, how).drop("rank", "weight")
         return cls(memories, postings(memories), tf, corpus_stats(memories, tf))
 
-    @classmethod
-    def write(cls, rows: DataFrame, path: str, how: Extraction = Extraction()) -> Index:
-        """Extract and store all tables under path; contents are tokenized once, for the terms, and moved again for the
-        keywords, which come from the stored terms. Key points are evaluated by who reads them."""
-        spark = rows.sparkSession
-
-        def keep(name: str, df: DataFrame, *by: str) -> DataFrame:
-            (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{path}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
-        terms = keep("tf", term_table(rows.select("db", "id", "content").repartition(*KEY), how), "term", "db")
-        memories = with_points(keep("memories", with_keywords(rows, how, terms)), how)
-        tf = terms.drop("rank", "weight")
-        entries = keep("postings", postings(memories), "term", "db")
-        return cls(memories, entries, tf, keep("stats", corpus_stats(memories, tf)))
+
+class StoredIndex(Index):
+    """An index of rows that stay where they are: each table is written under path when it is first asked for.
+
+    Contents are tokenized and moved once, for the terms. Keywords come from the stored terms and meet the rows when
+    somebody reads them; key points are evaluated by who reads them.
+    """
+
+    def __init__(self, rows: DataFrame, path: str, how: Extraction = Extraction()):
+        self.rows, self.path, self.how = rows, path, how
+
+    def _keep(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    @cached_property
+    def _terms(self) -> DataFrame:
+        return self._keep("tf", term_table(self.rows.select("db", "id", "content").repartition(*KEY), self.how), "term", "db")
+
+    @cached_property
+    def _lists(self) -> DataFrame:
+        return self._keep("keywords", keyword_lists(self._terms))
+
+    @cached_property
+    def memories(self) -> DataFrame:
+        return with_points(with_lists(self.rows, self._lists), self.how)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._keep("postings", postings(self._lists.withColumn("keywords", F.col("scored").cast(KEYWORDS))), "term", "db")
+
+    @cached_property
+    def tf(self) -> DataFrame:
+        return self._terms.drop("rank", "weight")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._keep("stats", corpus_stats(self.rows, self.tf))
+
+    @property
+    def lengths(self) -> DataFrame:
+        return doc_lengths(self.rows, self.tf)
+
+    def complete(self) -> StoredIndex:
+        """This index, with all tables written."""
+        self.postings, self.stats  # noqa: B018
+        return self

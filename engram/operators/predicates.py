@@ -56,6 +56,20 @@ def _conjuncts(e) -> list:
     return [*_conjuncts(e.left), *_conjuncts(e.right)] if isinstance(e, d.And) else [e]
 
 
+def reads_keywords(s: d.Select) -> bool:
+    """Whether a SELECT needs the extracted columns; others need the rows alone."""
+
+    def asked(e) -> bool:
+        match e:
+            case d.And(a, b) | d.Or(a, b):
+                return asked(a) or asked(b)
+            case d.Not(a):
+                return asked(a)
+        return isinstance(e, d.Equals) and e.column == "keyword"
+
+    return asked(s.where) or not {"keywords", "keywords_inline", "key_points"}.isdisjoint(STAR if s.columns is None else s.columns)
+
+
 def selected(memories: DataFrame, s: d.Select, entries: DataFrame | None = None) -> DataFrame:
     """SELECT: filter, order and limit.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import render, text
 from .operators import index as ix
 from .operators import rank as rk
-from .operators.predicates import filtered, selected
+from .operators.predicates import reads_keywords, selected
 from .plans import dialect as d
 from .schema import EngineError
 from .session import Engine
@@ -54,11 +54,11 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> ix.Index:
-    """The stored index tables of a data set, written once in an application, as a database's are."""
+def index_of(spark: SparkSession, sf_dir: str) -> ix.StoredIndex:
+    """The index tables of a data set, each written once in an application, when a query first needs it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = ix.Index.write(documents.read(spark, sf_dir), f"{_shared(spark)}/index-{uuid.uuid4().hex}")
+        _INDEXES[key] = ix.StoredIndex(documents.read(spark, sf_dir), f"{_shared(spark)}/index-{uuid.uuid4().hex}")
     return _INDEXES[key]
 
 
@@ -67,11 +67,13 @@ def _rows(s: SparkSession, p: str) -> DataFrame:
 
 
 def _sql(statement: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A SELECT of the dialect over database main."""
+    """A SELECT of the dialect over database main; it has the index only if it asks for keywords."""
+    parsed = d.parse(statement)
+    indexed = reads_keywords(parsed)
 
     def run(s: SparkSession, p: str) -> DataFrame:
-        index = index_of(s, p)
-        found = selected(index.memories.where("db = 'main'"), d.parse(statement), index.postings.where("db = 'main'"))
+        memories = index_of(s, p).memories if indexed else _rows(s, p)
+        found = selected(memories.where("db = 'main'"), parsed, index_of(s, p).postings.where("db = 'main'") if indexed else None)
         return found.select(*columns) if columns else found
 
     return run
