@@ -44,8 +44,10 @@ def with_keywords(rows: DataFrame, how: Extraction = Extraction(), terms: DataFr
     terms is the term table of the rows, if it is there already: contents are not tokenized again, and only keywords
     are moved. Without it one shuffle by (db, id) serves the counting, the ranking of terms and the join.
     """
-    rows = rows.repartition(*KEY)
-    return with_lists(rows, keyword_lists(term_table(rows, how) if terms is None else terms))
+    if terms is None:
+        rows = rows.repartition(*KEY)
+        terms = term_table(rows, how)
+    return with_lists(rows, keyword_lists(terms))
 
 
 def with_points(rows: DataFrame, how: Extraction = Extraction()) -> DataFrame:
